@@ -23,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.winnow import BYTE_CODES, MAX_SYMBOLS, anchors, mix
+from corpusloom.llm.winnow import BYTE_CODES, MAX_SYMBOLS, RollingHash, anchors, mix
 from corpusloom.shared import drop_stash, stash
 
 GROUP = 400
+BLOCK = 8
 BATCH_BYTES = 1 << 18
 CUT = 1 << 16  # symbols of one call of anchors(), so that its arrays stay in cache
 
@@ -143,21 +144,20 @@ def unpacked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def context_batches(batches: Iterator[pa.RecordBatch], units: type, size: int) -> Iterator[pa.RecordBatch]:
-    """Documents with their open anchors -> a row for each context, or for each window of a large group.
+    """Documents with their open anchors -> a row for each context, or for each block of a large group's windows.
 
     In: `_key, _bytes, _open` (list of structs `_at, _gram, _large`).
-    Out: `_gram, _key, _start, _window, _text`; `_window` is null for a context, `_text` for a window.
+    Out: `_gram, _key, _start, _last, _block, _text` (first and last window start); `_block` hashes a block's text, null for a context.
+    Blocks are aligned to the k-gram, so equal windows lie at the same place of their blocks.
     """
-    from corpusloom.llm.winnow import RollingHash
-
     for batch in batches:
-        rows, grams, starts, hashes, texts, weight = [], [], [], [], [], 0
+        rows, grams, starts, lasts, hashes, texts, weight = [], [], [], [], [], [], 0
 
         def flush():
+            numbers = [pa.array(x, pa.int64()) for x in (starts, lasts, hashes)]
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(grams)), batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(starts))]
-                + [pa.concat_arrays(hashes), pa.concat_arrays(texts)],
-                names=["_gram", "_key", "_start", "_window", "_text"],
+                [pa.array(grams, pa.int64()), batch.column(0).take(pa.array(rows, pa.int64())), *numbers, pa.array(texts, pa.binary())],
+                names=["_gram", "_key", "_start", "_last", "_block", "_text"],
             )
 
         for i in range(batch.num_rows):
@@ -167,33 +167,49 @@ def context_batches(batches: Iterator[pa.RecordBatch], units: type, size: int) -
             parts = units.split(batch.column(1)[i].as_py())
             packed, gram = (listed.field(j).to_numpy(zero_copy_only=False) for j in (0, 1))
             large = listed.field(2).to_numpy(zero_copy_only=False).astype(bool)
-            _, first, last = unpacked(packed)
-            small = np.flatnonzero(~large)
-            if len(small):
-                cut = [units.slice(parts, int(first[j]), int(last[j]) + size) for j in small]
-                rows.append(np.full(len(small), i))
-                grams.append(gram[small])
-                starts.append(first[small])
-                hashes.append(pa.nulls(len(small), pa.int64()))
-                texts.append(pa.array(cut, pa.binary()))
+            at, first, last = unpacked(packed)
+            rolling = RollingHash(units.codes(parts)) if large.any() else None
+            for j in range(len(packed)):
+                lo, hi = int(first[j]), int(last[j])
+                if large[j]:
+                    inner = np.arange(lo + 1, hi + 1)
+                    begin = np.concatenate([[lo], inner[(inner - at[j]) % BLOCK == 0]])
+                    end = np.concatenate([begin[1:], [hi + 1]]) + size - 1
+                    hashes += rolling.slices(begin, end).view(np.int64).tolist()
+                else:
+                    begin, end = [lo], [hi + size]
+                    hashes.append(None)
+                rows += [i] * len(begin)
+                grams += [int(gram[j])] * len(begin)
+                starts += [int(x) for x in begin]
+                lasts += [int(y) - size for y in end]
+                cut = [units.slice(parts, int(x), int(y)) for x, y in zip(begin, end, strict=True)]
+                texts += cut
                 weight += sum(map(len, cut))
-            if large.any():
-                rolling = RollingHash(units.codes(parts))
-                counts = (last - first + 1)[large]
-                at = np.repeat(first[large], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                rows.append(np.full(len(at), i))
-                grams.append(np.repeat(gram[large], counts))
-                starts.append(at)
-                hashes.append(pa.array(rolling.slices(at, at + size).view(np.int64)))
-                texts.append(pa.nulls(len(at), pa.binary()))
-                weight += 40 * len(at)
             if weight > 8 << 20:
                 yield flush()
-                rows, grams, starts, hashes, texts, weight = [], [], [], [], [], 0
+                rows, grams, starts, lasts, hashes, texts, weight = [], [], [], [], [], [], 0
         if rows:
             yield flush()
 
 
+def window_batches(batches: Iterator[pa.RecordBatch], units: type, size: int) -> Iterator[pa.RecordBatch]:
+    """Blocks `_gram, _key, _start, _text` -> their windows `_gram, _key, _start, _window`."""
+    for batch in batches:
+        rows, starts, hashes = [], [], []
+        for i, (start, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            codes = units.codes(units.split(text))
+            at = np.arange(len(codes) - size + 1)
+            rows.append(np.full(len(at), i))
+            starts.append(start + at)
+            hashes.append(RollingHash(codes).slices(at, at + size).view(np.int64))
+        if rows:
+            take = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(starts)), pa.array(np.concatenate(hashes))], names=["_gram", "_key", "_start", "_window"]
+            )
+
+
 def resolved_batches(batches: Iterator[pa.RecordBatch], resolve: Callable, size: int) -> Iterator[pa.RecordBatch]:
     """Contexts in order of k-gram and document -> removed ranges `_key, _start, _end`.
 
@@ -299,12 +315,10 @@ def removed_ranges(rows: DataFrame, units: type, size: int, k: int, resolve: Cal
 
     place = F.struct("_key", "_at") if within else F.struct("_key")
     one = F.xxhash64("_gram", "_context").alias("_one")  # a key of its own, so that no shuffle by k-gram serves both
-    firsts = seen.select("_gram", one, place.alias("_place")).groupBy("_one", "_gram").agg(F.min("_place").alias("_first"))
-    kinds = firsts.groupBy("_gram").agg(F.count(F.lit(1)).alias("_kinds"))
-    firsts = stash(firsts.select("_one", "_gram", "_first").join(kinds.withColumnRenamed("_gram", "_g"), F.col("_gram") == F.col("_g")).drop("_g", "_gram"), "repeats-firsts")
-    told = seen.select("_key", "_at", "_gram", one, place.alias("_place")).join(firsts.withColumnRenamed("_one", "_o"), F.col("_one") == F.col("_o"))
-    later = F.col("_place") > F.col("_first")
-    told = stash(told.filter(later | (F.col("_kinds") > 1)).select("_key", "_at", F.when(~later, F.col("_gram")).alias("_gram"), F.when(~later, F.col("_kinds") > GROUP).alias("_large")), "repeats-told")
+    firsts = stash(seen.select("_gram", one, place.alias("_place")).groupBy("_one", "_gram").agg(F.min("_place").alias("_first")), "repeats-firsts")
+    kinds = stash(firsts.groupBy("_gram").agg(F.count(F.lit(1)).alias("_kinds")).filter("_kinds > 1").select(F.col("_gram").alias("_g"), (F.col("_kinds") > GROUP).alias("_large")), "repeats-kinds")
+    told = seen.select("_key", "_at", "_gram", one, place.alias("_place")).join(firsts.select(F.col("_one").alias("_o"), "_first"), F.col("_one") == F.col("_o"))
+    told = stash(told.select("_key", "_at", F.when(F.col("_place") == F.col("_first"), F.col("_gram")).alias("_gram")), "repeats-told")
     drop_stash(firsts)
     drop_stash(seen)
     release(spark)
@@ -313,22 +327,39 @@ def removed_ranges(rows: DataFrame, units: type, size: int, k: int, resolve: Cal
     copies = told.filter("_gram is null").select(
         "_key", (at - F.shiftright("_at", 8).bitwiseAND(255)).alias("_start"), (at - F.col("_at").bitwiseAND(255) + size).alias("_end")
     )
-    open_ = told.filter("_gram is not null").groupBy("_key").agg(F.collect_list(F.struct("_at", "_gram", "_large")).alias("_open"))
-    texts = rows.join(open_.withColumnRenamed("_key", "_k"), F.col("_key") == F.col("_k")).select("_key", "_bytes", "_open")
-    contexts = texts.mapInArrow(lambda it: context_batches(it, units, size), f"_gram long, _key {key}, _start long, _window long, _text binary")
+    open_ = told.filter("_gram is not null").join(kinds, F.col("_gram") == F.col("_g")).groupBy(F.col("_key").alias("_k")).agg(F.collect_list(F.struct("_at", "_gram", "_large")).alias("_open"))
+    texts = rows.join(open_, F.col("_key") == F.col("_k")).select("_key", "_bytes", "_open")
+    contexts = texts.mapInArrow(lambda it: context_batches(it, units, size), f"_gram long, _key {key}, _start long, _last long, _block long, _text binary")
     contexts = stash(contexts, "repeats-contexts")
     release(spark)
 
-    small = contexts.filter("_window is null").withColumn("_doc", F.xxhash64("_key"))
+    small = contexts.filter("_block is null").withColumn("_doc", F.xxhash64("_key"))
     small = small.select("_gram", "_key", "_start", "_doc", "_text").repartition(F.col("_gram")).sortWithinPartitions("_gram", "_key", "_start")
     settled = small.mapInArrow(lambda it: resolved_batches(it, resolve, size), f"_key {key}, _start long, _end long")
 
-    large = contexts.filter("_window is not null").withColumn("_place", F.struct("_key", "_start") if within else F.struct("_key"))
-    window = F.xxhash64("_window", "_gram")
-    earliest = large.groupBy(window.alias("_w"), F.col("_gram").alias("_g")).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    again = large.join(earliest, (window == F.col("_w")) & (F.col("_gram") == F.col("_g"))).filter("_place > _first")
-    again = again.select("_key", "_start", (F.col("_start") + size).alias("_end"))
-    return copies.union(settled).union(again)
+    # Large groups: equal blocks go together first, then the windows of blocks seen for the first time.
+    place = F.struct("_key", "_start") if within else F.struct("_key")
+    blocks = contexts.filter("_block is not null").withColumn("_place", place)
+    many = joined_to_first(blocks, "_block").select("_gram", "_key", "_start", "_text", (F.col("_place") > F.col("_first")).alias("_later"), (F.col("_last") + size).alias("_end"))
+    many = stash(many, "repeats-blocks")
+    fresh = many.filter("not _later").select("_gram", "_key", "_start", "_text")
+    windows = fresh.mapInArrow(lambda it: window_batches(it, units, size), f"_gram long, _key {key}, _start long, _window long").withColumn("_place", place)
+    again = joined_to_first(windows, "_window").filter(F.col("_place") > F.col("_first"))
+    return (
+        copies.union(settled)
+        .union(many.filter("_later").select("_key", "_start", "_end"))
+        .union(again.select("_key", "_start", (F.col("_start") + size).alias("_end")))
+    )
+
+
+def joined_to_first(rows: DataFrame, column: str) -> DataFrame:
+    """`rows` with `_first`, the least `_place` of those that share `column` and k-gram.
+
+    Grouped minima are written, then joined as a plain table, so a hot value's rows can be split.
+    """
+    same = F.xxhash64(column, "_gram")
+    least = rows.groupBy(same.alias("_same"), F.col("_gram").alias("_g")).agg(F.min("_place").alias("_first"))
+    return rows.join(stash(least, "repeats-least"), (same == F.col("_same")) & (F.col("_gram") == F.col("_g")))
 
 
 def without_repeats(docs: DataFrame, id_col: str, text_col: str, units: type, size: int, k: int, resolve: Callable, within: bool) -> DataFrame:
