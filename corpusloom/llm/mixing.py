@@ -58,35 +58,8 @@ def same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def taken_words(
-    docs: DataFrame,
-    key: str = "doc_id",
-    source: str = "source",
-    text: str = "text",
-    weights: tuple[int, ...] = (5, 2, 1),
-    share: float = 1.0,
-    most: int = 3,
-) -> DataFrame:
-    """How many words of each document the mix takes.
-
-    Returns one row for each input row: `key`, `size` (words), `source_size`,
-    `target` (of its source) and `taken` (words, repeats counted).  A source whose
-    target is m times its size and a rest takes each document m times, and once
-    more those whose hash lies below a threshold.  The threshold is found without
-    sorting: words are summed by source and hash bucket, the bucket in which the
-    budget ends is refined in the next level, four levels of 4096 buckets in all.
-
-    Null text has size 0; a null source is a source of its own, last in order; null
-    keys and repeated rows share a hash and are taken together, up to the nearer
-    side of the budget; an empty table gives an empty result.  `most` bounds the
-    copies of a document.  Other columns of the input don't take part.
-    """
-    rows = stash(
-        docs.select(
-            F.col(key).alias("_key"), F.col(source).alias("_source"), word_count(F.col(text)).alias("_size"), mix_hash(F.col(key)).alias("_hash")
-        ),
-        "mix-rows",
-    )
+def mix_plan(rows: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
+    """`_source, _size, _hash` of all documents -> `_source, _source_size, _target, _copies, _bound` of each source."""
     sizes = rows.groupBy("_source").agg(F.sum("_size").alias("_source_size"))
     targets = source_targets(sizes, weights, share, most)
     whole = F.when(F.col("_source_size") > 0, F.least(F.floor(F.col("_target") / F.col("_source_size")), F.lit(most))).otherwise(F.lit(0)).cast("long")
@@ -119,12 +92,58 @@ def taken_words(
     gap = F.col("_need") - F.col("_done")
     plan = plan.withColumn("_bound", F.when((gap > 0) & (2 * gap >= F.col("_last")), F.col("_prefix") + 1).otherwise(F.col("_prefix")))
     plan = plan.withColumn("_bound", F.when(F.col("_need") > 0, F.col("_bound")).otherwise(F.lit(0)))
-    picks = rows.join(plan.withColumnRenamed("_source", "_s"), same("_source", "_s"))
-    extra = (F.col("_hash") < F.col("_bound")) & (F.col("_copies") < most)
-    return picks.select(
+    return plan.select("_source", "_source_size", "_target", "_copies", "_bound")
+
+
+def copies(most: int):
+    """Copies of a document in the mix, by its source's plan."""
+    return F.col("_copies") + ((F.col("_hash") < F.col("_bound")) & (F.col("_copies") < most)).cast("long")
+
+
+def sized(docs: DataFrame, key: str, source: str, text: str, *more: str) -> DataFrame:
+    return docs.select(
+        *more, F.col(key).alias("_key"), F.col(source).alias("_source"), word_count(F.col(text)).alias("_size"), mix_hash(F.col(key)).alias("_hash")
+    )
+
+
+def taken_words(
+    docs: DataFrame,
+    key: str = "doc_id",
+    source: str = "source",
+    text: str = "text",
+    weights: tuple[int, ...] = (5, 2, 1),
+    share: float = 1.0,
+    most: int = 3,
+) -> DataFrame:
+    """How many words of each document the mix takes.
+
+    Returns one row for each input row: `key`, `size` (words), `source_size`,
+    `target` (of its source) and `taken` (words, repeats counted).  A source whose
+    target is m times its size and a rest takes each document m times, and once
+    more those whose hash lies below a threshold.  The threshold is found without
+    sorting: words are summed by source and hash bucket, the bucket in which the
+    budget ends is refined in the next level, four levels of 4096 buckets in all.
+
+    Null text has size 0; a null source is a source of its own, last in order; null
+    keys and repeated rows share a hash and are taken together, up to the nearer
+    side of the budget; an empty table gives an empty result.  `most` bounds the
+    copies of a document.  Other columns of the input don't take part.
+    """
+    rows = stash(sized(docs, key, source, text), "mix-rows")
+    plan = mix_plan(rows, weights, share, most).withColumnRenamed("_source", "_s")
+    return rows.join(plan, same("_source", "_s")).select(
         F.col("_key").alias(key),
         F.col("_size").alias("size"),
         F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"),
-        (F.col("_size") * (F.col("_copies") + extra.cast("long"))).alias("taken"),
+        (F.col("_size") * copies(most)).alias("taken"),
     )
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, most: int = 3) -> DataFrame:
+    """The documents of the mix, once each, with `copies` (1 or more) and `taken` (words); see `taken_words`."""
+    rows = stash(sized(docs, key, source, text), "mix-rows")
+    plan = mix_plan(rows, weights, share, most).withColumnRenamed("_source", "_s")
+    wide = docs.select(F.struct(*docs.columns).alias("_doc"), key, source, text)
+    picks = sized(wide, key, source, text, "_doc").join(plan, same("_source", "_s")).withColumn("_n", copies(most)).filter("_n > 0")
+    return picks.select("_doc.*", F.col("_n").alias("_copies_"), (F.col("_size") * F.col("_n")).alias("_taken_")).withColumnsRenamed({"_copies_": "copies", "_taken_": "taken"})

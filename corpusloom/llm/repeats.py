@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm.winnow import BYTE_CODES, MAX_SYMBOLS, RollingHash, anchors, mix
 from corpusloom.shared import drop_stash, stash
@@ -251,7 +252,7 @@ def resolved_batches(batches: Iterator[pa.RecordBatch], resolve: Callable, size:
 
 
 def cut_batches(batches: Iterator[pa.RecordBatch], units: type) -> Iterator[pa.RecordBatch]:
-    """`_key, _bytes, _cuts` -> `_key, _n, _removed, _spans, _kept`."""
+    """`_key, _bytes, _cuts, _carry` -> `_key, _carry, _n, _removed, _spans, _kept`."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 200):
             part = batch.slice(lo, 200)
@@ -274,9 +275,9 @@ def cut_batches(batches: Iterator[pa.RecordBatch], units: type) -> Iterator[pa.R
                 removed.append(int(gone.sum()))
                 kept.append(parts[~gone].tobytes() if units is Bytes else b" ".join([w for w, g in zip(parts, gone.tolist(), strict=True) if not g]))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+                [part.column(0), part.column(3), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
                 + [pa.array(kept, pa.binary())],
-                names=["_key", "_n", "_removed", "_spans", "_kept"],
+                names=["_key", "_carry", "_n", "_removed", "_spans", "_kept"],
             )
 
 
@@ -286,18 +287,18 @@ def release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
-    """`_key, _bytes` for each document, and whether ids are unique and not null.
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> tuple[DataFrame, bool]:
+    """`_key, _bytes, _carry` for each document, and whether ids are unique and not null.
 
     Where they are not, the key also holds the text's hash, rows equal in both count as one
     document, null ids come last and, of one id, texts are ordered by their hash.
     """
-    plain = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_bytes"))
+    plain = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_bytes"), F.struct(F.lit(0).alias("_"), *carry).alias("_carry"))
     odd = plain.select("_id").filter(F.col("_id").isNull()).limit(1).union(plain.groupBy("_id").count().filter("count > 1").select("_id").limit(1))
     if odd.isEmpty():
-        return plain.select(F.col("_id").alias("_key"), "_bytes"), True
+        return plain.select(F.col("_id").alias("_key"), "_bytes", "_carry"), True
     key = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.xxhash64("_bytes").alias("text"))
-    return plain.select(key.alias("_key"), "_bytes"), False
+    return plain.select(key.alias("_key"), "_bytes", "_carry"), False
 
 
 def removed_ranges(rows: DataFrame, units: type, size: int, k: int, resolve: Callable, within: bool) -> DataFrame:
@@ -362,20 +363,18 @@ def joined_to_first(rows: DataFrame, column: str) -> DataFrame:
     return rows.join(stash(least, "repeats-least"), (same == F.col("_same")) & (F.col("_gram") == F.col("_g")))
 
 
-def without_repeats(docs: DataFrame, id_col: str, text_col: str, units: type, size: int, k: int, resolve: Callable, within: bool) -> DataFrame:
-    """One row for each row of `docs`: its id, `_n, _removed, _spans, _kept`."""
-    rows, unique = keyed(docs, id_col, text_col)
+def without_repeats(docs: DataFrame, id_col: str, text_col: str, units: type, size: int, k: int, resolve: Callable, within: bool, carry: list[str] | None = None) -> DataFrame:
+    """One row for each row of `docs`: its id, `_n, _removed, _spans, _kept`, and `_carry` with columns to keep."""
+    rows, unique = keyed(docs, id_col, text_col, carry or [])
+    every = rows
     if not unique:
-        rows = stash(rows.dropDuplicates(["_key"]), "repeats-rows")
-    key = rows.schema["_key"].dataType.simpleString()
-    ranges = removed_ranges(rows, units, size, k, resolve, within)
+        rows = stash(rows.select("_key", "_bytes").dropDuplicates(["_key"]), "repeats-rows")
+    ranges = removed_ranges(rows.select("_key", "_bytes"), units, size, k, resolve, within)
     cuts = ranges.groupBy(F.col("_key").alias("_k")).agg(F.collect_list(F.struct("_start", "_end")).alias("_cuts"))
-    joined = rows.join(cuts, F.col("_key") == F.col("_k"), "left").select("_key", "_bytes", "_cuts")
-    done = joined.mapInArrow(lambda it: cut_batches(it, units), f"_key {key}, _n long, _removed long, _spans array<struct<start:long,end:long>>, _kept binary")
-    if unique:
-        return done
-    all_rows, _ = keyed(docs, id_col, text_col)
-    return all_rows.select(F.col("_key").alias("_k")).join(done, F.col("_k") == F.col("_key")).drop("_k")
+    joined = every.join(cuts, F.col("_key") == F.col("_k"), "left").select("_key", "_bytes", "_cuts", "_carry")
+    added = T._parse_datatype_string("_n long, _removed long, _spans array<struct<start:long,end:long>>, _kept binary")
+    schema = T.StructType([joined.schema["_key"], joined.schema["_carry"], *added.fields])
+    return joined.mapInArrow(lambda it: cut_batches(it, units), schema)
 
 
 def id_of(result: DataFrame, name: str) -> Column:

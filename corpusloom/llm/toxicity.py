@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKETS = 1 << 18
 SAMPLE_ROWS = 8_000
@@ -158,17 +159,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return [t for _, t, _ in got], np.array([g for _, _, g in got])
 
 
-def grade_batches(batches: Iterator[pa.RecordBatch], model: OrdinalModel) -> Iterator[pa.RecordBatch]:
+def grade_batches(batches: Iterator[pa.RecordBatch], model: OrdinalModel, text_at: int) -> Iterator[pa.RecordBatch]:
     scores = WordScores(model.weights)
     for batch in batches:
-        z = np.concatenate([latent(batch.column(1).slice(i, 256).to_pylist(), scores) for i in range(0, max(1, batch.num_rows), 256)])
-        columns = [pa.array(model.expected(z), pa.float64()), pa.array(model.grade(z).astype(np.float64))]
-        yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(batch.columns) if i != 1], *columns], names=[*[n for i, n in enumerate(batch.schema.names) if i != 1], "severity", "grade"])
+        texts = batch.column(text_at).cast(pa.binary())
+        z = np.concatenate([latent(texts.slice(i, 256).to_pylist(), scores) for i in range(0, max(1, batch.num_rows), 256)])
+        added = [pa.array(model.expected(z), pa.float64()), pa.array(model.grade(z).astype(np.float64))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "_severity", "_grade"])
 
 
-def severity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
-) -> DataFrame:
+def with_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """`docs` with `_severity` (expected grade) and `_grade` (most likely one), see `severity`."""
+    model = fit(*training_rows(docs, labels, id_col, text_col, label_col))
+    schema = T.StructType([*docs.schema.fields, T.StructField("_severity", T.DoubleType()), T.StructField("_grade", T.DoubleType())])
+    at = docs.columns.index(text_col)
+    return docs.mapInArrow(lambda it: grade_batches(it, model, at), schema)
+
+
+def severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Severity of each document, learned from graded labels.
 
     The model is fitted on the driver from at most SAMPLE_ROWS labelled rows and
@@ -180,8 +188,5 @@ def severity(
     rows get equal results; with fewer than two grades in the labels all rows get the one
     there is, or 0.  Other columns don't take part.
     """
-    model = fit(*training_rows(docs, labels, id_col, text_col, label_col))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    kind = rows.schema["_id"].dataType.simpleString()
-    graded = rows.mapInArrow(lambda it: grade_batches(it, model), f"_id {kind}, severity double, grade double")
-    return graded.select(F.col("_id").alias(id_col), "severity", "grade")
+    graded = with_severity(docs.select(id_col, text_col), labels, id_col, text_col, label_col)
+    return graded.select(id_col, F.col("_severity").alias("severity"), F.col("_grade").alias("grade"))
