@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_toxicity", "q_repeats", "q_mixing", "q_simhash", "q_decontam")
+MODULES = ("q_toxicity", "q_bitslice", "q_repeats", "q_mixing", "q_langid", "q_licenses", "q_htmlcut", "q_simhash", "q_decontam")
 
 
 def queries() -> dict:
