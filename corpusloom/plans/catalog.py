@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-MODULES: tuple[str, ...] = ()
+from importlib import import_module
+
+MODULES = ("evaluation",)
+
+
+def _modules() -> list:
+    return [import_module(f"corpusloom.plans.{m}") for m in MODULES]
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in _modules() for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _modules() for name, sql in m.ORACLE_SQL.items()}
