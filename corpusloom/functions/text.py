@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Scripts that count as real ones in the quality check.
@@ -14,7 +14,7 @@ SCRIPTS = (
 )
 
 #: Line ends other than \r\n, as Unicode text tools split them.
-LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def count(text: Column, pattern: str) -> Column:
@@ -112,16 +112,32 @@ def tokens(text: Column, pattern: str = REGEX_TOKEN) -> Column:
 
 
 def token_offsets(text: Column, pattern: str = REGEX_TOKEN) -> Column:
-    """Tokens as {text, start, end}, in code points, ends exclusive: each is looked for after the one before."""
-    state = "struct<at:int, out:array<struct<text:string,start:int,end:int>>>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out")).cast(state)
-
-    def step(acc: Column, token: Column) -> Column:
-        start = F.locate_from(token, text, acc["at"]) if hasattr(F, "locate_from") else F.call_function("locate", token, text, acc["at"] + 1) - 1
-        end = start + F.length(token)
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(token.alias("text"), start.alias("start"), end.alias("end"))).alias("out")).cast(state)
-
-    return F.aggregate(tokens(text, pattern), begin, step, lambda acc: acc["out"])
+    """Tokens of a short text as {text, start, end}, in code points, ends exclusive.
+
+    Tokens and the white space between them follow each other, so a token starts where the
+    lengths before it add up to.  Arrays grow in a fold here; `token_rows` is for long texts.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(r"(?U)\s+|" + pattern.removeprefix("(?U)")), 0)
+    kind = "array<struct<text:string,start:int,end:int>>"
+    state = f"struct<at:int, out:{kind}>"
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")).cast(state)
+
+    def step(acc: Column, piece: Column) -> Column:
+        end = acc["at"] + F.length(piece)
+        grown = F.array_append(acc["out"], F.struct(piece.alias("text"), acc["at"].alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(piece.rlike(r"(?U)^\s"), acc["out"]).otherwise(grown).alias("out")).cast(state)
+
+    return F.aggregate(pieces, begin, step, lambda acc: acc["out"])
+
+
+def token_rows(df: DataFrame, keys: list[str], text_col: str, pattern: str = REGEX_TOKEN) -> DataFrame:
+    """`keys, idx, token, start, end`: one row for each token of texts of any length."""
+    pieces = F.regexp_extract_all(text_col, F.lit(r"(?U)\s+|" + pattern.removeprefix("(?U)")), 0)
+    rows = df.select(*keys, F.posexplode(pieces).alias("_at", "token"))
+    before = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    is_token = ~F.col("token").rlike(r"(?U)^\s")
+    placed = rows.select(*keys, "token", F.coalesce(F.sum(F.length("token")).over(before), F.lit(0)).alias("start"), F.coalesce(F.sum(is_token.cast("int")).over(before), F.lit(0)).alias("idx"))
+    return placed.filter(is_token).select(*keys, "idx", "token", "start", (F.col("start") + F.length("token")).alias("end"))
 
 
 def char_to_token_span(offsets: Column, start: Column, end: Column) -> Column:

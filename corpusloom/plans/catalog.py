@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("evaluation",)
+MODULES = ("evaluation", "documents")
 
 
 def _modules() -> list:
