@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 BUCKETS = 1 << 18
 SAMPLE_ROWS = 8_000
-SAMPLE_BYTES = 60_000_000
-KNOWN_WORDS = 200_000
+SAMPLE_BYTES = 30_000_000
+KNOWN_WORDS = 100_000
 MIN_DOCUMENTS = 3
 MIN_ODDS = 0.7
 
@@ -53,6 +53,13 @@ class OrdinalModel:
         return self.grades[np.argmax(edges[:, :-1] - edges[:, 1:], axis=1)]
 
 
+def document_counts(columns: list[np.ndarray]) -> np.ndarray:
+    total = np.zeros(BUCKETS, dtype=np.int64)
+    for c in columns:
+        total[c] += 1
+    return total
+
+
 def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 150, decay: float = 1e-3, rate: float = 0.02) -> OrdinalModel:
     """Fits weights shared by all thresholds by Adam on the full batch, in numpy.
 
@@ -63,22 +70,25 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 150, decay: float
     if len(grades) < 2:
         return OrdinalModel(np.zeros(BUCKETS, np.float32), np.zeros(0), grades if len(grades) else np.zeros(1))
     y = np.searchsorted(grades, labels)
-    known: dict[bytes, list[int]] = {}
+    known: dict[bytes, bytes] = {}
     columns, scale = [], []
     for text in texts:
-        ids: list[int] = []
+        parts = []
         for w in words_of(text):
             if w not in known:
-                known[w] = word_features(w)
-            ids += known[w]
-        found, counts = np.unique(np.array(ids, dtype=np.int64), return_counts=True)
+                if len(known) >= KNOWN_WORDS:
+                    known.clear()
+                known[w] = np.array(word_features(w), dtype=np.int32).tobytes()
+            parts.append(known[w])
+        found, counts = np.unique(np.frombuffer(b"".join(parts), dtype=np.int32), return_counts=True)
         columns.append(found)
-        scale.append(counts)
+        scale.append(counts.astype(np.int32))
+    known.clear()
     # Features enter by the log-odds of their documents lying above the lowest grade;
     # those that are rare or say little are left out.
     high = y > 0
-    df_high = np.bincount(np.concatenate([c for c, h in zip(columns, high, strict=True) if h]), minlength=BUCKETS)
-    df_low = np.bincount(np.concatenate([c for c, h in zip(columns, high, strict=True) if not h]), minlength=BUCKETS)
+    df_high = document_counts([c for c, h in zip(columns, high, strict=True) if h])
+    df_low = document_counts([c for c, h in zip(columns, high, strict=True) if not h])
     odds = np.log((df_high + 1) / (high.sum() + 2)) - np.log((df_low + 1) / ((~high).sum() + 2))
     odds[(df_high + df_low < MIN_DOCUMENTS) | (np.abs(odds) < MIN_ODDS)] = 0
     kept = [np.flatnonzero(odds[c]) for c in columns]
