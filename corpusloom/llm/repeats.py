@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from corpusloom.llm.winnow import BYTE_CODES, MAX_SYMBOLS, RollingHash, anchors, mix
 from corpusloom.shared import drop_stash, stash
 
-GROUP = 400
+GROUP = 1500
 BLOCK = 8
 BATCH_BYTES = 1 << 18
 CUT = 1 << 16  # symbols of one call of anchors(), so that its arrays stay in cache
@@ -148,17 +148,17 @@ def context_batches(batches: Iterator[pa.RecordBatch], units: type, size: int) -
     """Documents with their open anchors -> a row for each context, or for each block of a large group's windows.
 
     In: `_key, _bytes, _open` (list of structs `_at, _gram, _large`).
-    Out: `_gram, _key, _start, _last, _block, _text` (first and last window start); `_block` hashes a block's text, null for a context.
-    Blocks are aligned to the k-gram, so equal windows lie at the same place of their blocks.
+    Out: `_gram, _key, _start, _last, _block, _core, _text` (first and last window start); `_block` hashes a
+    block's text and `_core` what all windows at its place hold, both null for a context.  Blocks are aligned to the k-gram, so equal windows lie at the same place of their blocks.
     """
     for batch in batches:
-        rows, grams, starts, lasts, hashes, texts, weight = [], [], [], [], [], [], 0
+        rows, grams, starts, lasts, hashes, cores, texts, weight = [], [], [], [], [], [], [], 0
 
         def flush():
-            numbers = [pa.array(x, pa.int64()) for x in (starts, lasts, hashes)]
+            numbers = [pa.array(x, pa.int64()) for x in (starts, lasts, hashes, cores)]
             return pa.RecordBatch.from_arrays(
                 [pa.array(grams, pa.int64()), batch.column(0).take(pa.array(rows, pa.int64())), *numbers, pa.array(texts, pa.binary())],
-                names=["_gram", "_key", "_start", "_last", "_block", "_text"],
+                names=["_gram", "_key", "_start", "_last", "_block", "_core", "_text"],
             )
 
         for i in range(batch.num_rows):
@@ -177,9 +177,12 @@ def context_batches(batches: Iterator[pa.RecordBatch], units: type, size: int) -
                     begin = np.concatenate([[lo], inner[(inner - at[j]) % BLOCK == 0]])
                     end = np.concatenate([begin[1:], [hi + 1]]) + size - 1
                     hashes += rolling.slices(begin, end).view(np.int64).tolist()
+                    aligned = at[j] + (begin - at[j]) // BLOCK * BLOCK
+                    cores += rolling.slices(aligned + BLOCK - 1, aligned + size).view(np.int64).tolist()
                 else:
                     begin, end = [lo], [hi + size]
                     hashes.append(None)
+                    cores.append(None)
                 rows += [i] * len(begin)
                 grams += [int(gram[j])] * len(begin)
                 starts += [int(x) for x in begin]
@@ -189,7 +192,7 @@ def context_batches(batches: Iterator[pa.RecordBatch], units: type, size: int) -
                 weight += sum(map(len, cut))
             if weight > 8 << 20:
                 yield flush()
-                rows, grams, starts, lasts, hashes, texts, weight = [], [], [], [], [], [], 0
+                rows, grams, starts, lasts, hashes, cores, texts, weight = [], [], [], [], [], [], [], 0
         if rows:
             yield flush()
 
@@ -330,7 +333,7 @@ def removed_ranges(rows: DataFrame, units: type, size: int, k: int, resolve: Cal
     )
     open_ = told.filter("_gram is not null").join(kinds, F.col("_gram") == F.col("_g")).groupBy(F.col("_key").alias("_k")).agg(F.collect_list(F.struct("_at", "_gram", "_large")).alias("_open"))
     texts = rows.join(open_, F.col("_key") == F.col("_k")).select("_key", "_bytes", "_open")
-    contexts = texts.mapInArrow(lambda it: context_batches(it, units, size), f"_gram long, _key {key}, _start long, _last long, _block long, _text binary")
+    contexts = texts.mapInArrow(lambda it: context_batches(it, units, size), f"_gram long, _key {key}, _start long, _last long, _block long, _core long, _text binary")
     contexts = stash(contexts, "repeats-contexts")
     release(spark)
 
@@ -338,12 +341,16 @@ def removed_ranges(rows: DataFrame, units: type, size: int, k: int, resolve: Cal
     small = small.select("_gram", "_key", "_start", "_doc", "_text").repartition(F.col("_gram")).sortWithinPartitions("_gram", "_key", "_start")
     settled = small.mapInArrow(lambda it: resolved_batches(it, resolve, size), f"_key {key}, _start long, _end long")
 
-    # Large groups: equal blocks go together first, then the windows of blocks seen for the first time.
+    # Large groups: equal blocks go together first, then the windows of blocks seen for the first
+    # time, where another one has the same core; without that no window can be equal.
     place = F.struct("_key", "_start") if within else F.struct("_key")
     blocks = contexts.filter("_block is not null").withColumn("_place", place)
-    many = joined_to_first(blocks, "_block").select("_gram", "_key", "_start", "_text", (F.col("_place") > F.col("_first")).alias("_later"), (F.col("_last") + size).alias("_end"))
+    many = joined_to_first(blocks, "_block").select("_gram", "_key", "_start", "_core", "_text", (F.col("_place") > F.col("_first")).alias("_later"), (F.col("_last") + size).alias("_end"))
     many = stash(many, "repeats-blocks")
-    fresh = many.filter("not _later").select("_gram", "_key", "_start", "_text")
+    fresh = many.filter("not _later")
+    core = F.xxhash64("_core", "_gram")
+    shared = stash(fresh.groupBy(core.alias("_c")).count().filter("count > 1").select("_c"), "repeats-cores")
+    fresh = fresh.join(shared, core == F.col("_c"), "left_semi").select("_gram", "_key", "_start", "_text")
     windows = fresh.mapInArrow(lambda it: window_batches(it, units, size), f"_gram long, _key {key}, _start long, _window long").withColumn("_place", place)
     again = joined_to_first(windows, "_window").filter(F.col("_place") > F.col("_first"))
     return (
