@@ -124,7 +124,7 @@ def token_offsets(text: Column, pattern: str = REGEX_TOKEN) -> Column:
 
     def step(acc: Column, piece: Column) -> Column:
         end = acc["at"] + F.length(piece)
-        grown = F.array_append(acc["out"], F.struct(piece.alias("text"), acc["at"].alias("start"), end.alias("end")))
+        grown = F.array_append(acc["out"], F.struct(piece, acc["at"], end).cast("struct<text:string,start:int,end:int>"))
         return F.struct(end.alias("at"), F.when(piece.rlike(r"(?U)^\s"), acc["out"]).otherwise(grown).alias("out")).cast(state)
 
     return F.aggregate(pieces, begin, step, lambda acc: acc["out"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("evaluation", "documents")
+MODULES = ("evaluation", "documents", "annotations")
 
 
 def _modules() -> list:

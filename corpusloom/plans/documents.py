@@ -207,7 +207,13 @@ q AS (SELECT doc_id, CAST(length(t) AS INTEGER) AS n_chars, {sql_count(chr(92) +
 qq AS (SELECT *, letters >= 30 AND letters >= 0.05::DOUBLE * n_chars AND other_letters <= 0.85::DOUBLE * letters AND scripts <= 4 AND symbols <= 0.25::DOUBLE * n_chars AND words >= 10 AS is_good FROM q)"""
 
 SQL_CHUNKS = r"""
-c0 AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '(?s)\S.{0,511}(?:\s|$)|\S.{0,511}'), lambda p: regexp_replace(p, '\s+$', '')), lambda p: length(p) >= 20) AS l FROM documents)"""
+g AS (SELECT doc_id, 0 AS k, '' AS piece, regexp_replace(text, '^\s+', '') AS rest FROM documents
+      UNION ALL
+      SELECT doc_id, k + 1, substr(rest, 1, n), regexp_replace(substr(rest, n + 1), '^\s+', '')
+      FROM (SELECT doc_id, k, rest, CASE WHEN length(rest) <= 512 THEN length(rest)
+                 WHEN regexp_matches(substr(rest, 1, 513), '\s') THEN length(regexp_extract(substr(rest, 1, 513), '(?s)^(.*)\s', 1)) ELSE 512 END AS n
+            FROM g WHERE rest <> '')),
+c0 AS (SELECT doc_id, list(piece ORDER BY k) AS l FROM (SELECT doc_id, k, regexp_replace(piece, '\s+$', '') AS piece FROM g WHERE k > 0) WHERE length(piece) >= 20 GROUP BY doc_id)"""
 
 WORD_CLASS = r"[\p{L}\p{M}\p{Nd}_]"
 
@@ -215,9 +221,9 @@ WORD_CLASS = r"[\p{L}\p{M}\p{Nd}_]"
 def sql_tokens(pattern: str) -> str:
     return rf"""
 WITH p AS (SELECT doc_id, regexp_extract_all(text, '\s+|{pattern}') AS l FROM documents),
-u AS (SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) AS at FROM p),
+u AS (SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) AS pos FROM p),
 w AS (SELECT doc_id, token, coalesce(sum(length(token)) OVER b, 0) AS start, coalesce(sum(CASE WHEN regexp_matches(token, '^\s') THEN 0 ELSE 1 END) OVER b, 0) AS idx
-      FROM u WINDOW b AS (PARTITION BY doc_id ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+      FROM u WINDOW b AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT doc_id, count(*) AS n_tokens, CAST(sum(start) AS BIGINT) AS sum_start, CAST(sum(start + length(token)) AS BIGINT) AS sum_end, CAST(sum(idx * length(token)) AS BIGINT) AS weighted
 FROM w WHERE NOT regexp_matches(token, '^\s') GROUP BY doc_id"""
 
@@ -268,8 +274,8 @@ f AS (SELECT event_id, domain, d, rn, CAST(0 AS BIGINT) AS fails_before FROM a W
       UNION ALL SELECT a.event_id, a.domain, a.d, a.rn, CASE WHEN f.fails_before >= 3 THEN f.fails_before ELSE f.fails_before + f.d END FROM f JOIN a ON a.domain = f.domain AND a.rn = f.rn + 1)
 SELECT event_id, domain, fails_before, fails_before >= 3 AS skipped FROM f""",
     "binary_sniff": "SELECT page_id, contains(substr(CASE WHEN page_id % 3 = 0 THEN '%PDF-1.7' || chr(10) || html ELSE html END, 1, 1024), '%PDF-') AS is_pdf FROM pages",
-    "chunk_documents": f"WITH {SQL_CHUNKS} SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS chunk_idx, unnest(l) AS chunk FROM c0",
-    "chunk_overlap": f"""WITH {SQL_CHUNKS}, u AS (SELECT doc_id, generate_subscripts(l, 1) AS k, l FROM c0)
+    "chunk_documents": f"WITH RECURSIVE {SQL_CHUNKS} SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS chunk_idx, unnest(l) AS chunk FROM c0",
+    "chunk_overlap": f"""WITH RECURSIVE {SQL_CHUNKS}, u AS (SELECT doc_id, generate_subscripts(l, 1) AS k, l FROM c0)
 SELECT doc_id, CAST(k - 1 AS INTEGER) AS chunk_idx, CASE WHEN k = 1 THEN l[1] ELSE right(l[k - 1], 50) || l[k] END AS chunk FROM u""",
     "resume_suffix_filter": "SELECT doc_id, source || '_' || doc_id AS id FROM documents WHERE doc_id >= 16",
     "row_index_ids": """WITH s AS (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents),
