@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 REALIGN_BELOW, ACCEPT_FROM, NEARNESS = 0.75, 0.70, 0.05
 TOKENIZERS = {"regex": re.compile(r"\w+(?:[-_]\w+)*|\S"), "whitespace": re.compile(r"\S+")}
@@ -124,3 +125,14 @@ def align_entities(chunks: DataFrame, keys: list[str], text_col: str = "text", e
 
     kinds = ", ".join(f"`{k}` {chunks.schema[k].dataType.simpleString()}" for k in keys)
     return chunks.select(*keys, text_col, entities_col).mapInPandas(run, f"{kinds}, tokens array<string>, entities array<{SPAN}>")
+
+
+def spans_on_tokens(spans: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """Character spans `keys, start, end` -> the same, once each, with `first, last` token that overlaps them, null if none does.
+
+    `tokens` comes from `token_rows`; the join is on the keys, the overlap decides inside them.
+    """
+    t = tokens.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("idx").alias("_idx"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    same = [F.col(k) == F.col(f"_{k}") for k in keys]
+    joined = spans.join(t, [*same, F.col("_e") > F.col("start"), F.col("_s") < F.col("end")], "left")
+    return joined.groupBy(*keys, "start", "end").agg(F.min("_idx").cast("int").alias("first"), F.max("_idx").cast("int").alias("last"))

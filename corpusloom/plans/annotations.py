@@ -195,9 +195,9 @@ def lines_with_entities(spark, sf_dir):
 
 
 def char_to_token_span(spark, sf_dir):
-    lines = lines_with_entities(spark, sf_dir).select("doc_id", "line", tx.token_offsets(F.col("text")).alias("tokens"), F.explode("entities").alias("e"))
-    span = tx.char_to_token_span(F.col("tokens"), F.col("e.start"), F.col("e.end"))
-    return lines.select("doc_id", "line", F.col("e.start").alias("start"), F.col("e.end").alias("end"), span["first"].alias("first"), span["last"].alias("last"))
+    lines = lines_with_entities(spark, sf_dir)
+    spans = lines.select("doc_id", "line", F.explode("entities").alias("e")).select("doc_id", "line", F.col("e.start").alias("start"), F.col("e.end").alias("end"))
+    return align.spans_on_tokens(spans, tx.token_rows(lines, ["doc_id", "line"], "text"), ["doc_id", "line"])
 
 
 def fuzzy_align(spark, sf_dir):

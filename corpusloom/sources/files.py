@@ -62,8 +62,8 @@ def pdf_pages(files: DataFrame, pages_of, least: int = 5) -> DataFrame:
 def repaired_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Files of pretty-printed objects set one after another: split where a line starts with a brace, broken ones go."""
     whole = spark.read.text(path, wholetext=True)
-    part = F.explode(F.split("value", r"(?m)^\{"))
-    text = whole.select(F.concat(F.lit("{"), part).alias("t")).filter(F.trim("t") != "{")
+    parts = whole.select(F.explode(F.split("value", r"(?m)^\{")).alias("p"))
+    text = parts.select(F.concat(F.lit("{"), "p").alias("t")).filter(F.trim("t") != "{")
     closed = F.regexp_replace("t", r"[\s,\]]+$", "")
     return text.select(closed.alias("t")).filter(F.try_parse_json("t").isNotNull()).select(F.from_json("t", schema).alias("o")).select("o.*")
 
