@@ -10,7 +10,10 @@ LABELS = ("Person", "Place", "Organization", "Event")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts in fewer files than there are cores are dealt out first, as a file may be one row group."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name == "documents" and len(df.inputFiles()) < cores else df
 
 
 def label_of(n: Column) -> Column:
