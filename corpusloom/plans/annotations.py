@@ -58,11 +58,10 @@ def validate_entities(spark, sf_dir):
 
 
 def normalize_entities(spark, sf_dir):
-    other = F.to_json(F.transform(given(), lambda e: F.struct((e["start"] - 6).alias("start_char"), e["end"].alias("end_char"), F.concat(F.lit(" "), e["label"]).alias("label"), e["text"].alias("text"), e["confidence"].alias("score"))))
+    other = F.to_json(F.transform(given(), lambda e: F.struct((e["start"] * 10 - 6).alias("start_char"), (e["start"] * 9 + e["end"]).alias("end_char"), F.concat(F.lit(" "), e["label"]).alias("label"), e["text"].alias("text"), e["confidence"].alias("score"))))
     raw = F.when(F.col("doc_id") % 2 == 0, F.to_json(given())).otherwise(other)
     items = F.coalesce(F.try_variant_get(F.try_parse_json(raw), "$", "array<variant>"), F.array().cast("array<variant>"))
-    shown = F.substring("text", 1, 60)
-    rows = documents(spark, sf_dir).select("doc_id", F.explode(en.normalised(items, shown)).alias("e"))
+    rows = documents(spark, sf_dir).select("doc_id", F.explode(en.normalised(items, F.col("text"))).alias("e"))
     return rows.select("doc_id", "e.start", "e.end", "e.label", "e.text", "e.confidence")
 
 
@@ -321,7 +320,7 @@ ORACLE_SQL = {
 FROM documents d LEFT JOIN fa USING (doc_id) GROUP BY d.doc_id""",
     "validate_entities": f"""WITH {SQL_MENTIONS} SELECT d.doc_id, coalesce(max(fa.conf), 0) + CASE WHEN d.doc_id % 2 = 0 THEN 0.0::DOUBLE ELSE 0.02::DOUBLE END <= 1 AS valid
 FROM documents d LEFT JOIN fa USING (doc_id) GROUP BY d.doc_id""",
-    "normalize_entities": f"""WITH {SQL_MENTIONS}, o AS (SELECT fa.doc_id, i * 3 - CASE WHEN fa.doc_id % 2 = 0 THEN 0 ELSE 6 END AS s, i * 3 + n AS e, least(length(d.text), 60) AS len, gold, txt, conf FROM fa JOIN documents d USING (doc_id))
+    "normalize_entities": f"""WITH {SQL_MENTIONS}, o AS (SELECT fa.doc_id, CASE WHEN fa.doc_id % 2 = 0 THEN i * 3 ELSE i * 30 - 6 END AS s, CASE WHEN fa.doc_id % 2 = 0 THEN i * 3 ELSE i * 30 END + n AS e, length(d.text) AS len, gold, txt, conf FROM fa JOIN documents d USING (doc_id))
 SELECT doc_id, CAST(s AS INTEGER) AS start, CAST(least(e, len) AS INTEGER) AS "end", gold AS label, txt AS text, conf AS confidence FROM o WHERE s >= 0 AND s < e AND s < len""",
     "ents_polymorphic": f"""WITH {SQL_MENTIONS}, c AS (SELECT d.doc_id, count(fa.i) AS n FROM documents d LEFT JOIN fa USING (doc_id) GROUP BY d.doc_id)
 SELECT doc_id, CASE WHEN doc_id % 6 IN (0, 1, 2, 4) THEN n ELSE 0 END AS first_choice, CASE WHEN doc_id % 6 IN (0, 1, 3, 4) THEN n ELSE 0 END AS second_choice FROM c""",
