@@ -237,13 +237,15 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     table gives an empty result; other columns don't take part.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(F.col(id_col)) != 0))
-    chosen = known.select(F.xxhash64(id_col).alias("_order"), F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"), F.col(lang_col).alias("_lang"))
-    sample, size = [], 0
-    for text, lang in chosen.orderBy("_order", "_id", "_lang").limit(SAMPLE_ROWS).select("_text", "_lang").toLocalIterator():
-        size += len(text)
-        if size > SAMPLE_BYTES:
-            break
-        sample.append((bytes(text), lang))
+    sized = known.select(F.xxhash64(id_col).alias("_order"), F.col(id_col).alias("_id"), F.octet_length(text_col).alias("_n"))
+    ids, size = [], 0
+    for r in sized.orderBy("_order", "_id", "_n").limit(SAMPLE_ROWS).collect():  # ids and lengths only
+        size += r["_n"]
+        if size <= SAMPLE_BYTES:
+            ids.append(r["_id"])
+    texts = known.filter(F.col(id_col).isin(sorted(set(ids)))).groupBy(F.col(id_col).alias("_id"))
+    picked = texts.agg(F.min(F.struct(F.octet_length(text_col).alias("n"), F.col(text_col).cast("binary").alias("text"), F.col(lang_col).alias("lang"))).alias("_r"))
+    sample = [(bytes(r["text"]), r["lang"]) for r in picked.select("_r.*").toLocalIterator()]
     net = train(sorted(sample))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(fold(F.col(id_col)) == 0, F.lit(False)).alias("_held"))
     kind = rows.schema["_id"].dataType.simpleString()
