@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import components
@@ -168,11 +168,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """Id, null last, and 128 bits of hash of the text: equal only for rows with the same id and text."""
+    text = F.col(text_col).cast("binary")
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"))
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` with the smallest id of each group; of rows that share that id, one."""
-    groups = near_duplicates(docs, id_col, text_col)
-    winners = stash(groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_w")).agg(F.count(F.lit(1)).alias("_n")), "winners")
-    kept = docs.join(winners, F.col(id_col).eqNullSafe(F.col("_w")), "left_semi")
-    if winners.filter("_n > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates([id_col])
+    """One row of `docs` for each group of near copies: that with the smallest id, a null one last.
+
+    Groups name their row by id and text, so null and repeated ids cost no group its row and
+    keep no copy of another group's.  Of rows of one group with equal ids the text's hash
+    decides; of rows equal in id and text any one stays.
+    """
+    groups = near_duplicates(docs.select(row_key(id_col, text_col).alias("_row"), F.col(text_col).alias("_text")), "_row", "_text")
+    winners = groups.filter(F.col("_row") == F.col("component_id")).groupBy(*[F.col(f"_row.{c}").alias(f"_w{c}") for c in ("id", "h", "g")])
+    winners = stash(winners.agg(F.count(F.lit(1)).alias("_n")), "winners")
+    key = row_key(id_col, text_col)
+    keyed = docs.select("*", *[key[c].alias(f"_k{c}") for c in ("h", "g")])
+    same = F.col(id_col).eqNullSafe(F.col("_wid")) & (F.col("_kh") == F.col("_wh")) & (F.col("_kg") == F.col("_wg"))
+    kept = keyed.join(winners, same, "left_semi")
+    if not winners.filter("_n > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, "_kh", "_kg"])
+    return kept.drop("_kh", "_kg")

@@ -88,3 +88,15 @@ def test_repeated_and_empty(spark):
     assert sorted(str(r.doc_id) for r in one_of_each(df).collect()) == ["1", "None"]
     assert near_duplicates(df.limit(0)).count() == 0
     assert fingerprint(b"") == 0
+
+
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdefg"]
+    a, b, c, d, e, f, g = texts
+    rows = [(3, a), (7, a), (7, b), (None, c), (None, d), (None, d), (None, a), (9, e), (9, f), (4, f), (None, None), (None, ""), (5, g), (5, g)]
+    df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, _text string").repartition(3)
+    got = one_of_each(df)
+    assert got.columns == df.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert len([r for r in kept if not r[1]]) == 1
+    assert sorted((r for r in kept if r[1]), key=str) == sorted([(3, a), (7, b), (None, c), (None, d), (9, e), (4, f), (5, g)], key=str)
