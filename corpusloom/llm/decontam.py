@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from corpusloom.llm.repeats import WordCodes
 from corpusloom.llm.simhash import bit_votes, pack
 from corpusloom.llm.winnow import mix
-from corpusloom.shared import stash
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -157,6 +156,17 @@ def match_batches(batches: Iterator[pa.RecordBatch], index: ItemIndex, threshold
         yield pa.RecordBatch.from_arrays(arrays, names=["_id", "_item", "start_word", "n_words", "similarity"])
 
 
+def item_indexes(items: DataFrame) -> Iterator[ItemIndex]:
+    """An index for each block of at most about BLOCK_BYTES of `_item, _text`; blocks without an item are left out."""
+    total = items.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    blocks = 1 + total // BLOCK_BYTES
+    for b in range(blocks):
+        own = items.filter(F.pmod(F.xxhash64("_text"), F.lit(blocks)) == b)
+        index = ItemIndex.build(sorted(((r["_item"], bytes(r["_text"])) for r in own.toLocalIterator()), key=lambda r: (str(r[0]), r[1])))
+        if index.items:
+            yield index
+
+
 def benchmark_matches(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -179,19 +189,13 @@ def benchmark_matches(
     take part.
     """
     items = benchmark.select(F.col(item_col).alias("_item"), F.col(item_text).cast("binary").alias("_text")).filter("_text is not null")
-    total = items.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    blocks = 1 + total // BLOCK_BYTES
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
     kind, item_kind = rows.schema["_id"].dataType.simpleString(), items.schema["_item"].dataType.simpleString()
     from pyspark.sql.pandas.types import to_arrow_type
 
     item_type = to_arrow_type(items.schema["_item"].dataType)
     out = None
-    for b in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("_text"), F.lit(blocks)) == b)
-        index = ItemIndex.build(sorted(((r["_item"], bytes(r["_text"])) for r in own.toLocalIterator()), key=lambda r: (str(r[0]), r[1])))
-        if not index.items:
-            continue
+    for index in item_indexes(items):
         part = rows.mapInArrow(
             lambda it, index=index: match_batches(it, index, threshold, item_type), f"_id {kind}, _item {item_kind}, start_word long, n_words long, similarity double"
         )
@@ -201,7 +205,20 @@ def benchmark_matches(
     return out.select(F.col("_id").alias(id_col), F.col("_item").alias(item_col), "start_word", "n_words", "similarity")
 
 
+def clean_batches(batches: Iterator[pa.RecordBatch], index: ItemIndex, threshold: float, text_at: int) -> Iterator[pa.RecordBatch]:
+    """The rows whose text matches no item of the index, all their columns as they are."""
+    known = WordCodes()
+    for batch in batches:
+        texts = batch.column(text_at).cast(pa.binary())
+        clean = [not document_matches(word_codes(t.as_py(), known), index, threshold) for t in texts]
+        yield batch if all(clean) else batch.filter(pa.array(clean, pa.bool_()))
+
+
 def without_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that match no benchmark item; rows with a null id stay."""
-    hit = stash(benchmark_matches(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_hit")).distinct(), "leaks")
-    return docs.join(hit, F.col(id_col) == F.col("_hit"), "left_anti")
+    """The rows of `docs` that match no benchmark item, each judged by its own text; ids don't take part."""
+    items = benchmark.select(F.lit(0).alias("_item"), F.col("text").cast("binary").alias("_text")).filter("_text is not null")
+    at = docs.columns.index(text_col)
+    out = docs
+    for index in item_indexes(items):
+        out = out.mapInArrow(lambda it, index=index: clean_batches(it, index, THRESHOLD, at), docs.schema)
+    return out

@@ -88,3 +88,14 @@ def test_block_index_holds_all_within_radius():
             window ^= 1 << bit
         assert index.within_radius(window, at)
     assert len(shingle_codes(word_codes(b"a b c", WordCodes()), 5)) == 1
+
+
+def test_rows_are_judged_by_text_not_id(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    rows = [(None, f"x {item} y"), (None, "clean one"), (4, item), (4, "clean two"), (5, None), (6, item.upper()), (5, "")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n int")
+    bench = spark.createDataFrame([(1, item), (2, None)], "item_id long, text string")
+    got = without_matches(df, bench)
+    assert got.schema == df.schema
+    assert sorted(r.n for r in got.collect()) == [1, 3, 4, 6]
+    assert without_matches(df, bench.limit(0)).count() == len(rows)
