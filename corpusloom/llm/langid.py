@@ -240,8 +240,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     sized = known.select(F.xxhash64(id_col).alias("_order"), F.col(id_col).alias("_id"), F.octet_length(text_col).alias("_n"))
     ids, size = [], 0
     for r in sized.orderBy("_order", "_id", "_n").limit(SAMPLE_ROWS).collect():  # ids and lengths only
-        size += r["_n"]
-        if size <= SAMPLE_BYTES:
+        if size + r["_n"] <= SAMPLE_BYTES:  # an overlong text costs only itself
+            size += r["_n"]
             ids.append(r["_id"])
     texts = known.filter(F.col(id_col).isin(sorted(set(ids)))).groupBy(F.col(id_col).alias("_id"))
     picked = texts.agg(F.min(F.struct(F.octet_length(text_col).alias("n"), F.col(text_col).cast("binary").alias("text"), F.col(lang_col).alias("lang"))).alias("_r"))

@@ -166,3 +166,16 @@ def test_licenses(spark):
     assert scan_licenses(df.limit(0)).count() == 0
     every = spark.createDataFrame([(i, f"f{i}", f"some words\n{t}\nmore words") for i, (_, t) in enumerate(TEMPLATES)], "doc_id long, path string, text string")
     assert [r.license for r in sorted(scan_licenses(every).collect(), key=lambda r: r.doc_id)] == [name for name, _ in TEMPLATES]
+
+
+def test_overlong_text_costs_only_itself(spark, monkeypatch):
+    rows = [(i, t, lang) for i in range(1, 81) for t, lang in [[("loma tilo mati", "xx"), ("scheng ungsch", "yy")][i % 2]]]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    first = plain.filter("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0").selectExpr("doc_id").orderBy(langid.F.xxhash64("doc_id")).first().doc_id
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 4000)
+    taken = []
+    monkeypatch.setattr(langid, "train", lambda sample: taken.extend(sample))
+    long = [(i, t * 400 if i == first else t, lang) for i, t, lang in rows]
+    identify(spark.createDataFrame(long, plain.schema))
+    learned = [(t.encode(), lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 5 and i != first]
+    assert sorted(taken) == sorted(learned) and len({lang for _, lang in taken}) == 2
