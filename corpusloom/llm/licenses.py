@@ -59,11 +59,15 @@ class Templates:
             self.vectors.append({t: w / norm for t, w in weights.items()})
             for t in c:
                 self.owners.setdefault(t, []).append(i)
+        longest = max(sum((n * idf.get(t, rarest)) ** 2 for t, n in c.items()) for c in counts)
+        self.room = 2 * longest / THRESHOLD**2  # twice the squared norm at which one whole template falls to the threshold
 
     def best(self, passage: str) -> tuple[str | None, float]:
         """Most similar template's license and the cosine; of equals the first."""
-        found = Counter(terms(passage))
-        norm = sum((n * self.idf.get(t, self.rarest)) ** 2 for t, n in found.items()) ** 0.5
+        return self.best_of(Counter(terms(passage)))
+
+    def best_of(self, found: Counter[str]) -> tuple[str | None, float]:
+        norm = self.weight(found) ** 0.5
         dots: dict[int, float] = {}
         for t, n in found.items():
             for i in self.owners.get(t, ()):
@@ -73,22 +77,57 @@ class Templates:
         i = min(dots, key=lambda i: (-dots[i], i))
         return self.names[i], dots[i] / norm
 
+    def weight(self, found: Counter[str]) -> float:
+        """Squared norm of a passage's vector."""
+        return sum((n * self.idf.get(t, self.rarest)) ** 2 for t, n in found.items())
+
 
-def passages(text: str) -> Iterator[str]:
-    """Lines that speak of a licence, alone and with the next one, and runs of text between blank lines."""
-    lines = text.split("\n")
-    for i, line in enumerate(lines):
-        if HINT.search(line):
-            yield line
-            yield from re.findall(r"[^.;]*(?:\.(?!\s)[^.;]*)*(?:[.;]|$)", line) if len(line) > 200 else ()
-            if i + 1 < len(lines):
-                yield line + " " + lines[i + 1]
-    for part in re.split(r"\n\s*\n", text) if "\n\n" in text or "\n \n" in text else ():
-        if "\n" in part and HINT.search(part):
-            yield part
+SENTENCE = re.compile(r"[^.;]*(?:\.(?!\s)[^.;]*)*(?:[.;]|$)")
 
 
-HINT = re.compile(r"licen[cs]e|\bCC\b|CC0|permission is hereby|redistribution and use|public domain|free software", re.IGNORECASE)
+def passages(text: str, templates: Templates) -> Iterator[Counter[str]]:
+    """Terms of all that may state a licence in a text.
+
+    Lines that speak of a licence and their sentences; and of each run of lines between
+    blank lines (the whole text if it has none) that does, the run, its sentences across
+    lines and its windows of consecutive lines.  A window ends at twice the squared norm
+    beyond which a statement made once in it stays below the threshold.
+    """
+    for run in re.split(r"\n\s*\n", text):
+        if not HINT.search(run):
+            continue
+        lines = run.split("\n")
+        for line in lines:
+            if HINT.search(line):
+                yield Counter(terms(line))
+                for sentence in SENTENCE.findall(line):
+                    yield Counter(terms(sentence))
+        if len(lines) == 1:
+            continue
+        yield Counter(terms(run))
+        for sentence in SENTENCE.findall(run.replace("\n", " ")):
+            if HINT.search(sentence):
+                yield Counter(terms(sentence))
+        starts = np.cumsum([0] + [len(line) + 1 for line in lines])
+        need = [len(lines)] * (len(lines) + 1)  # line by which a hint that begins here or later has ended
+        for m in HINT.finditer(run):
+            a, b = np.searchsorted(starts, [m.start(), m.end() - 1], side="right") - 1
+            need[int(a)] = min(need[int(a)], int(b))
+        for i in range(len(lines) - 1, -1, -1):
+            need[i] = min(need[i], need[i + 1])
+        counts = [Counter(terms(line)) for line in lines]
+        used = [i for i, c in enumerate(counts) if c]
+        for at, start in enumerate(used):
+            found: Counter[str] = Counter()
+            for end in used[at:]:
+                found.update(counts[end])
+                if templates.weight(found) > templates.room:
+                    break
+                if end > start and end >= need[start]:
+                    yield found
+
+
+HINT = re.compile(r"licen[cs]e|\bCC\b|CC0|permission\W+is\W+hereby|redistribution\W+and\W+use|public\W+domain|free\W+software", re.IGNORECASE)
 
 
 def scan_batches(batches: Iterator[pa.RecordBatch], templates: Templates) -> Iterator[pa.RecordBatch]:
@@ -99,8 +138,8 @@ def scan_batches(batches: Iterator[pa.RecordBatch], templates: Templates) -> Ite
             value = text.as_py() or ""
             best = (None, 0.0)
             if HINT.search(value):
-                for p in passages(value):
-                    name, score = templates.best(p)
+                for p in passages(value, templates):
+                    name, score = templates.best_of(p)
                     if score > best[1]:
                         best = (name, score)
             sure = best[1] >= THRESHOLD
@@ -131,7 +170,7 @@ def scan_licenses(
 ) -> DataFrame:
     """The license of each file, from its own header or from the nearest directory above that has one.
 
-    A file's licence statements (lines and paragraphs that speak of a licence) are compared
+    A file's licence statements (lines, sentences, windows of lines and paragraphs that speak of a licence) are compared
     with the templates by sparse TF-IDF cosine; document frequencies cover all files.  Files
     whose name matches `name_pattern` and that state a license give it to their directory
     (of several, the most similar, then the smallest path).  A file without one of its own

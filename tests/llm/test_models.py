@@ -179,3 +179,18 @@ def test_overlong_text_costs_only_itself(spark, monkeypatch):
     identify(spark.createDataFrame(long, plain.schema))
     learned = [(t.encode(), lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 5 and i != first]
     assert sorted(taken) == sorted(learned) and len({lang for _, lang in taken}) == 2
+
+
+def test_license_statement_beside_other_text(spark):
+    texts = {
+        1: ("Apache-2.0", "Copyright (c) 2021 Example Corp. Licensed under the Apache License, Version 2.0."),
+        2: ("MIT", "Our tool is small. Released under the MIT License."),
+        3: ("MIT", "Copyright 2020 Example Corp. All rights reserved. Released under the MIT License."),
+        4: ("BSD-3-Clause", "Frobnicator Widget Quux\nRedistribution and\nuse in source and binary forms, with or without\nmodification, are permitted provided that\nthe following conditions are met\nZyzzyva Plugh Xyzzy Gadget"),
+        5: ("Apache-2.0", "Frobnicator by Somebody Else. Licensed under\nthe Apache License,\nVersion 2.0. Zyzzyva plugh xyzzy gadget quux thing"),
+        6: (None, "You need a driving licence. Apples are released under the tree."),
+        7: ("MIT", "Gizmo quux\nReleased\nunder the\nMIT License\nfrobnicator widget"),
+    }
+    rows = [(i, f"d{i}/LICENSE", t) for i, (_, t) in texts.items()] + [(10 + i, f"d{i}/x.txt", "plain") for i in texts]
+    got = {r.doc_id: r.license for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {k: name for i, (name, _) in texts.items() for k in (i, 10 + i)}
