@@ -47,8 +47,22 @@ class Element:
     depth: int
     unseen: bool
     content: bool
-    against: bool
+    barred: bool
     named_for: bool
+    named_against: bool = False
+    wraps: bool = False
+    chars: int = 0
+
+    def above(self) -> Iterator[Element]:
+        e = self.parent
+        while e is not None:
+            yield e
+            e = e.parent
+
+    @property
+    def against(self) -> bool:
+        """Hidden, boilerplate or named so, itself or by what encloses it; names of what wraps the main text don't count."""
+        return self.barred or any(e.named_against and not e.wraps for e in (self, *self.above()))
 
 
 @dataclass
@@ -81,6 +95,7 @@ class Reader(HTMLParser):
         self.page = Page()
         root = Element("", None, 0, False, False, False, False)
         self.open = [root]
+        self.mains: list[Element] = []
         self.parts: list[str] = []
         self.link_chars = 0
         self.in_link = 0
@@ -118,12 +133,14 @@ class Reader(HTMLParser):
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v)) for k, v in attrs)
         content = up.content or tag in CONTENT
         bad = [n & AGAINST for n in names]
-        against = hidden or any(b if not n & FOR else b - {"header", "footer", "body"} for n, b in zip(names, bad, strict=True))
+        named = any(b if not n & FOR else b - {"header", "footer", "body"} for n, b in zip(names, bad, strict=True))
         self.page.has_content_element |= tag in CONTENT
         boiler = tag in BOILERPLATE or (tag == "header" and not up.content)
-        self.open.append(
-            Element(tag, up, up.depth + 1, up.unseen or tag in UNSEEN, content, up.against or against or boiler, up.named_for or any(n & FOR for n in names))
-        )
+        new = Element(tag, up, up.depth + 1, up.unseen or tag in UNSEEN, content, up.barred or hidden or boiler, up.named_for or any(n & FOR for n in names))
+        new.named_against, new.wraps = named, tag in ("html", "body", "main")
+        self.open.append(new)
+        if tag in CONTENT and not new.barred:
+            self.mains.append(new)
         self.in_link += tag == "a"
 
     def handle_endtag(self, tag):
@@ -145,11 +162,23 @@ class Reader(HTMLParser):
                 self.link_chars += len(data.strip())
 
 
+def mark_wrappers(page: Page, mains: list[Element]) -> None:
+    """Marks what encloses a main element or the longest article: names there tell the layout, not what the text is."""
+    for b in page.blocks:
+        for e in (b.element, *b.element.above()):
+            e.chars += len(b.text)
+    articles = [e for e in mains if e.tag == "article" and not e.named_against]
+    for e in [e for e in mains if e.tag == "main"] + sorted(articles, key=lambda e: -e.chars)[:1]:
+        for up in e.above():
+            up.wraps = True
+
+
 def read_page(html: str) -> Page:
     reader = Reader()
     reader.feed(re.sub(r"<[a-zA-Z/!][^<>]*\Z", "", html))
     reader.close()
     reader.flush()
+    mark_wrappers(reader.page, reader.mains)
     return reader.page
 
 

@@ -194,3 +194,15 @@ def test_license_statement_beside_other_text(spark):
     rows = [(i, f"d{i}/LICENSE", t) for i, (_, t) in texts.items()] + [(10 + i, f"d{i}/x.txt", "plain") for i in texts]
     got = {r.doc_id: r.license for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
     assert got == {k: name for i, (name, _) in texts.items() for k in (i, 10 + i)}
+
+
+def test_layout_names_do_not_lose_the_main_text():
+    body = "<p>A paragraph of the article that is long enough to stand.</p><p>And one more of them here.</p>"
+    want = "A paragraph of the article that is long enough to stand. And one more of them here."
+    rest = '<div class="sidebar"><p>Something beside the article that is about as long as it.</p></div><div id="comments"><article class="comment"><p>I liked it.</p></article></div>'
+    for name in ("has-sidebar", "with-sidebar", "sidebar-right", "header-fixed", "no-comments"):
+        assert main_text(f'<html><body class="{name}"><article>{body}</article>{rest}</body></html>') == want
+        assert main_text(f'<html class="{name}"><body><main>{body}</main>{rest}</body></html>') == want
+        assert main_text(f'<body><div id="page" class="{name}"><div><article>{body}</article></div>{rest}</div></body>') == want
+        assert main_text(f'<body><main class="{name}"><article>{body}</article></main>{rest}</body>') == want
+    assert main_text(f'<body class="no-comments"><article>{body}<div class="ad">Buy this</div></article><aside><article>Other one</article></aside></body>') == want
