@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 # HTML element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mstyle mover munder munderover mpadded mphantom mfenced semantics".split()
 )
-UNSEEN = frozenset("head title script style noscript template iframe object svg math canvas audio video select option textarea button form input datalist".split())
-BOILERPLATE = frozenset("nav footer aside menu dialog address figcaption".split())
+UNSEEN = frozenset("head title script style noscript template iframe object svg canvas audio video select option textarea button form input datalist annotation annotation-xml".split())
+BOILERPLATE = frozenset("nav footer aside menu dialog".split())
 CONTENT = frozenset("article main".split())
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()

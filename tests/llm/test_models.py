@@ -206,3 +206,9 @@ def test_layout_names_do_not_lose_the_main_text():
         assert main_text(f'<body><div id="page" class="{name}"><div><article>{body}</article></div>{rest}</div></body>') == want
         assert main_text(f'<body><main class="{name}"><article>{body}</article></main>{rest}</body>') == want
     assert main_text(f'<body class="no-comments"><article>{body}<div class="ad">Buy this</div></article><aside><article>Other one</article></aside></body>') == want
+
+
+def test_captions_addresses_and_formulas_are_main_text():
+    page = "<article><p>The law of <math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi></mrow><annotation>E=m</annotation></semantics></math> as told here.</p>{}</article><footer>x</footer>"
+    got = main_text(page.format("<figure><img><figcaption>A picture of it.</figcaption></figure><address>Main Street 1</address>"))
+    assert got == "The law of E=m as told here. A picture of it. Main Street 1"
