@@ -14,14 +14,16 @@ from corpusloom.shared import stash
 SHARD_ROWS = 8192
 QUERY_BLOCK = 512
 SCALE = 1024
-LIMIT = 1 << 31
+LIMIT = 1 << 63
 
 
 def quantised(vector: Column) -> Column:
-    """floor(SCALE * x) of each component; null for vectors that take no part."""
-    wide = F.transform(vector, lambda x: x.cast("double") * SCALE)
-    sound = F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < LIMIT))
-    return F.when(F.coalesce(sound, F.lit(False)), F.transform(wide, lambda x: F.floor(x).cast("long")))
+    """floor(SCALE * x) of each component; null for vectors that take no part; fails beyond the long range."""
+    double = F.transform(vector, lambda x: x.cast("double"))
+    sound = F.forall(double, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    beyond = F.raise_error(F.lit("embedding component beyond the long range once scaled")).cast("long")
+    whole = F.transform(double, lambda x: F.when(F.abs(x * SCALE) < float(LIMIT), F.floor(x * SCALE).cast("long")).otherwise(beyond))
+    return F.when(F.coalesce(sound, F.lit(False)), whole)
 
 
 def words_of_bits(bits: np.ndarray) -> np.ndarray:
@@ -35,6 +37,12 @@ def positions(bitmap: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(bitmap.astype("<u8").view(np.uint8), bitorder="little")[:n])
 
 
+def checked(score: int) -> int:
+    if not -(1 << 63) <= score < 1 << 63:
+        raise OverflowError(f"inner product {score} beyond the long range")
+    return score
+
+
 class Shard:
     """Bit slices of each attribute of some rows: slice (d, i) has bit i of the rows' attribute d, less its minimum."""
 
@@ -48,9 +56,9 @@ class Shard:
         order = np.argsort(ids, kind="stable")
         ids, values = ids[order], values[order]
         low = values.min(axis=0)
-        rest = (values - low).T
+        rest = (values - low).view(np.uint64).T  # wraps to the true difference
         bits = max(1, int(rest.max(initial=0)).bit_length())
-        slices = np.stack([words_of_bits((rest >> i & 1).astype(np.uint8)) for i in range(bits)], axis=1)
+        slices = np.stack([words_of_bits((rest >> np.uint64(i) & np.uint64(1)).astype(np.uint8)) for i in range(bits)], axis=1)
         return cls(ids, low, slices)
 
     def scores(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
@@ -60,7 +68,8 @@ class Shard:
         place; a negative one adds the slices' complement.  All slices that meet at one place
         are summed by carry-save adders, three at a time.
         """
-        base = int((query * self.low).sum()) - int(np.abs(query[query < 0]).sum()) * ((1 << self.bits) - 1)
+        factors = query.tolist()
+        base = sum(q * x for q, x in zip(factors, self.low.tolist(), strict=True)) + sum(q for q in factors if q < 0) * ((1 << self.bits) - 1)
         flipped = np.where((query < 0)[:, None, None], ~self.slices, self.slices)
         size = np.abs(query)
         at: dict[int, list[np.ndarray]] = {}
@@ -109,10 +118,12 @@ class Shard:
                         break
         certain = positions(sure, self.n)
         rows = np.concatenate([certain, positions(open_, self.n)[: k - len(certain)]])  # rows are in order of id
-        total = np.zeros(len(rows), dtype=np.int64)
+        total = [base] * len(rows)  # of any width
         for i, s in enumerate(slices):
-            total += ((s[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << i
-        return self.ids[rows], total + base
+            bit = (s[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)
+            for j in np.flatnonzero(bit).tolist():
+                total[j] += 1 << i
+        return self.ids[rows], np.array([checked(x) for x in total], dtype=np.int64)
 
 
 def shard_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,8 +173,8 @@ def top_inner_products(vectors: DataFrame, every: int = 100, k: int = 10, id_col
     QUERY_BLOCK; each shard gives its k best, which a grouped limit merges.
 
     Returns `query_id, rank, vec_id, score`; fewer rows where there are fewer candidates.
-    Vectors that are null or hold null, non-finite or (1024 x) 2^31 and larger components
-    take no part, nor do null ids; only vectors of equal length are compared (empty ones
+    Vectors that are null or hold null or non-finite components take no part, nor do null
+    ids; components and scores of the k best beyond the long range fail the query; only vectors of equal length are compared (empty ones
     score 0); repeated rows are candidates each, but of query rows with one id only the
     least vector asks; an empty table gives an empty result; other columns don't take part.
     """

@@ -38,3 +38,15 @@ def test_query_equals_brute_force(spark, monkeypatch):
     got = [tuple(r) for r in top_inner_products(df).collect()]
     assert set(got) == want
     assert top_inner_products(df.limit(0)).count() == 0
+
+
+def test_large_components_take_part(spark):
+    rows = [(0, [3e6, -1.0]), (1, [2.5e6, 1e5]), (2, [-4e5, 7.0]), (3, [1.0, -3e6]), (100, [2.2e6, 1e3])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in top_inner_products(df).collect()]
+    whole = {i: [int(1024 * x) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 100):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    assert sorted(got) == want
