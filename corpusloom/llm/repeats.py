@@ -106,6 +106,8 @@ def document_anchors(codes: np.ndarray, size: int, k: int):
 
 def anchor_batches(batches: Iterator[pa.RecordBatch], units: type, size: int, k: int) -> Iterator[pa.RecordBatch]:
     """`_key, _bytes` -> `_key, _at, _gram, _context`; `_at` packs the k-gram's place and its windows."""
+    if size - k > 65535:
+        raise ValueError("size may exceed k by 65535 at most")
     for batch in batches:
         held: list[np.ndarray] = []
         rows: list[int] = []
@@ -115,7 +117,7 @@ def anchor_batches(batches: Iterator[pa.RecordBatch], units: type, size: int, k:
                 a = document_anchors(held[0], size, k)
             else:
                 a = anchors(np.concatenate(held), np.array([len(x) for x in held]), size, k)
-            packed = (a.at << 16) | ((a.at - a.first) << 8) | (a.at - a.last)
+            packed = (a.at << 32) | ((a.at - a.first) << 16) | (a.at - a.last)
             return pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(np.array(rows, dtype=np.int64)[a.doc])), pa.array(packed), pa.array(a.key.view(np.int64)), pa.array(a.context.view(np.int64))],
                 names=["_key", "_at", "_gram", "_context"],
@@ -140,8 +142,8 @@ def anchor_batches(batches: Iterator[pa.RecordBatch], units: type, size: int, k:
 
 
 def unpacked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at = packed >> 16
-    return at, at - ((packed >> 8) & 255), at - (packed & 255)
+    at = packed >> 32
+    return at, at - ((packed >> 16) & 65535), at - (packed & 65535)
 
 
 def context_batches(batches: Iterator[pa.RecordBatch], units: type, size: int) -> Iterator[pa.RecordBatch]:
@@ -327,9 +329,9 @@ def removed_ranges(rows: DataFrame, units: type, size: int, k: int, resolve: Cal
     drop_stash(seen)
     release(spark)
 
-    at = F.shiftright("_at", 16)
+    at = F.shiftright("_at", 32)
     copies = told.filter("_gram is null").select(
-        "_key", (at - F.shiftright("_at", 8).bitwiseAND(255)).alias("_start"), (at - F.col("_at").bitwiseAND(255) + size).alias("_end")
+        "_key", (at - F.shiftright("_at", 16).bitwiseAND(65535)).alias("_start"), (at - F.col("_at").bitwiseAND(65535) + size).alias("_end")
     )
     open_ = told.filter("_gram is not null").join(kinds, F.col("_gram") == F.col("_g")).groupBy(F.col("_key").alias("_k")).agg(F.collect_list(F.struct("_at", "_gram", "_large")).alias("_open"))
     texts = rows.join(open_, F.col("_key") == F.col("_k")).select("_key", "_bytes", "_open")

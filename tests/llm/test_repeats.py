@@ -120,3 +120,17 @@ def test_pieces_of_long_documents(monkeypatch):
     for name in ("at", "first", "last", "key", "context"):
         a, b = getattr(whole, name), getattr(parts, name)
         assert (a[2:-2] == b[2:-2]).all() and len(a) == len(b), name
+
+
+def test_long_windows_are_packed_whole():
+    import pyarrow as pa
+
+    from corpusloom.llm.repeats import Words, anchor_batches, document_anchors, unpacked
+
+    rng = random.Random(31)
+    text = " ".join(f"w{rng.randint(0, 500)}" for _ in range(4000)).encode()
+    want = document_anchors(Words.codes(Words.split(text)), 512, 24)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["_key", "_bytes"])
+    got = unpacked(np.concatenate([b.column(1).to_numpy() for b in anchor_batches(iter([batch]), Words, 512, 24)]))
+    assert (want.at - want.first).max() > 255
+    assert all((g == w).all() for g, w in zip(got, (want.at, want.first, want.last)))
