@@ -9,6 +9,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import pandas_udf
 
 from corpusloom.functions import entities as en
 from corpusloom.functions.entities import ENTITIES
@@ -62,14 +63,40 @@ class Gazetteer:
 
 
 class LanguageModel:
-    """Any model that answers prompts with JSON; `ask(prompts) -> list of answers`, tried `attempts` times."""
+    """Any model that answers prompts with JSON: `ask(prompts)` gives an answer, or a list of `choices` answers, for each.
+
+    Up to `attempts` rounds: after the first, only texts whose answer failed are asked again.
+    An answer of several choices counts only if all of them are sound; a text whose rounds
+    all fail has no entities in any choice.
+    """
+
+    def __init__(self, prompt: str, ask: Callable[[list[str]], list], attempts: int = 3, choices: int = 1):
+        self.prompt, self.ask, self.attempts, self.choices = prompt, ask, attempts, choices
+
+    def annotate_choices(self, texts: list[str]) -> list[list[list[dict]]]:
+        """For each text a list of entities for each choice."""
+        prompts = [self.prompt.replace("{TEXT}", t or "") for t in texts]
+        found: dict[int, list[list[dict]]] = {}
+        for _ in range(self.attempts):
+            failed = [i for i in range(len(texts)) if i not in found]
+            if not failed:
+                break
+            for i, answer in zip(failed, self.ask([prompts[i] for i in failed]), strict=True):
+                read = [en.read_answer(a) for a in ([answer] if isinstance(answer, str) or answer is None else answer)]
+                if read and None not in read:
+                    found[i] = read
+        return [found.get(i, [[] for _ in range(self.choices)]) for i in range(len(texts))]
+
+    def annotate(self, texts: list[str]) -> list[list[dict]]:
+        """Entities of the first choice."""
+        return [choices[0] for choices in self.annotate_choices(texts)]
 
-    def __init__(self, prompt: str, ask: Callable[[list[str]], list[str]], attempts: int = 3):
-        self.prompt, self.ask, self.attempts = prompt, ask, attempts
 
-    def answers(self, texts: list[str]) -> list[list[str]]:
-        filled = [self.prompt.replace("{TEXT}", t or "") for t in texts]
-        return [list(a) for a in zip(*[self.ask(filled) for _ in range(self.attempts)], strict=True)]
+def allowed_model(name: str, allowed: str | None) -> str:
+    """`name` if it contains one of the names listed in `allowed` (set apart by "; ", none listed allows all); else ValueError."""
+    if allowed and not any(a in name for a in allowed.split("; ") if a):
+        raise ValueError(f"model {name!r} is not among {allowed!r}")
+    return name
 
 
 register("gazetteer", Gazetteer)
@@ -93,29 +120,46 @@ def annotate(chunks: DataFrame, model: Annotator, text_col: str = "text", batch:
 
 
 def answers_to_entities(df: DataFrame, attempts_col: str = "attempts") -> DataFrame:
-    """Model answers (an array for each row, one for each attempt) -> `entities` of the first that validates."""
-    numbered = df.withColumn("_row", F.monotonically_increasing_id())
-    tries = numbered.select("_row", F.posexplode_outer(attempts_col).alias("_i", "_a"))
-    parsed = tries.withColumn("_p", en.parsed(en.clean_response(F.col("_a"))))
-    back = parsed.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_i", "_p"))).alias("_l"))
-    return numbered.join(back, "_row").withColumn("entities", en.first_valid(F.transform("_l", lambda x: x["_p"]))).drop("_row", "_l")
+    """Model answers (an array for each row, one for each attempt) -> `entities` of the first that validates.
+
+    All of it happens inside the row; null or empty arrays give no entities.
+    """
+    cleaned = F.transform(attempts_col, en.clean_response)
+    return df.withColumn("entities", en.first_valid(en.parsed_all(cleaned)))
 
 
 def predict_relations(chunks: DataFrame, model: RelationModel, keys: list[str], batch: int = 8) -> DataFrame:
-    """`keys, tokens, relations`; chunks without two entities skip the model."""
+    """`keys, tokens, relations`, one row for each chunk in one pass; chunks without two entities skip the model."""
     kinds = ", ".join(f"`{k}` {chunks.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for lo in range(0, len(pdf), batch):
-                part = pdf.iloc[lo : lo + batch]
+            asked = [i for i, e in enumerate(pdf["entities"]) if e is not None and len(e) > 1]
+            relations: list[list] = [[] for _ in range(len(pdf))]
+            for lo in range(0, len(asked), batch):
+                part = pdf.iloc[asked[lo : lo + batch]]
                 found = model.predict([list(t) for t in part["tokens"]], [list(e) for e in part["entities"]])
-                yield part[[*keys, "tokens"]].assign(relations=found)
+                for i, r in zip(asked[lo : lo + batch], found, strict=True):
+                    relations[i] = r
+            yield pdf[[*keys, "tokens"]].assign(relations=relations)
+
+    return chunks.select(*keys, "tokens", "entities").mapInPandas(run, f"{kinds}, tokens array<string>, relations array<{PREDICTED_RELATION_DDL}>")
 
-    rows = chunks.filter(F.size("entities") > 1)
-    predicted = rows.select(*keys, "tokens", "entities").mapInPandas(run, f"{kinds}, tokens array<string>, relations array<{PREDICTED_RELATION_DDL}>")
-    none = chunks.filter(F.size("entities") <= 1).select(*keys, "tokens", F.array().cast(f"array<{PREDICTED_RELATION_DDL}>").alias("relations"))
-    return predicted.unionByName(none)
+
+def with_language(df: DataFrame, detect: Callable[[str], str | None], text_col: str = "text", column: str = "detected") -> DataFrame:
+    """Hook for language detection: `detect(text)` for each row, in batches; null where it fails or the text is null."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else detect(text)
+        except Exception:  # best effort: any failure of a detector means not known
+            return None
+
+    @pandas_udf("string")
+    def detected(texts: pd.Series) -> pd.Series:
+        return texts.map(one).astype(object)
+
+    return df.withColumn(column, detected(text_col))
 
 
 def timed(name: str, action: Callable[[], object]) -> dict:
@@ -123,3 +167,8 @@ def timed(name: str, action: Callable[[], object]) -> dict:
     began = time.monotonic()
     action()
     return {"name": name, "elapsed": time.monotonic() - began}
+
+
+def seconds_by_model(timings: DataFrame, model: str = "name", seconds: str = "elapsed") -> DataFrame:
+    """Seconds summed by model."""
+    return timings.groupBy(model).agg(F.sum(seconds).alias(seconds))

@@ -95,12 +95,12 @@ def canonical_labels(spark, sf_dir):
 
 
 def tagged_words(spark, sf_dir, numbers=False):
-    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+"), 0)).alias("pos", "word"))
-    k = (F.col("doc_id") + F.col("pos")) % 7
-    if numbers:
-        number = F.element_at(F.array(*map(F.lit, (1, 2, 0, 2, 5, 6, 0))), (k + 1).cast("int"))
-        return rows.withColumn("tag", F.get(en.numbered_tags(F.array(number)), F.lit(0)))
-    return rows.withColumn("tag", F.element_at(F.array(*map(F.lit, ("B-PER", "I-PER", "O", "I-PER", "B-LOC", "I-LOC", "O"))), (k + 1).cast("int")))
+    """`doc_id, words, tags`: words with tags by position, as text or by number."""
+    kinds = (1, 2, 0, 2, 5, 6, 0) if numbers else ("B-PER", "I-PER", "O", "I-PER", "B-LOC", "I-LOC", "O")
+    known = F.array(*map(F.lit, kinds))
+    words = F.regexp_extract_all("text", F.lit(r"\S+"), 0)
+    tags = F.transform(words, lambda w, i: F.element_at(known, ((F.col("doc_id") + i) % 7 + 1).cast("int")))
+    return documents(spark, sf_dir).select("doc_id", words.alias("words"), (en.numbered_tags(tags) if numbers else tags).alias("tags"))
 
 
 def iob2_decode_string(spark, sf_dir):

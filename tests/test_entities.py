@@ -108,10 +108,11 @@ def test_iob2(spark):
     df = spark.createDataFrame([(WORDS, TAGS, [1, 2, 0, 2, 4, 3])], "w array<string>, t array<string>, n array<bigint>")
     named = df.select(en.iob2_entities(F.col("w"), F.col("t")).alias("e")).first().e
     assert [tuple(e) for e in named] == [("a b", "X"), ("d", "X"), ("e", "Y"), ("f", "Y")]
-    numbered = df.select(en.iob2_numbered_entities(F.col("w"), F.col("n"), ("X", "Y")).alias("e")).first().e
+    numbered = df.select(en.iob2_numbered_entities(F.col("w"), F.col("n"), {"O": 0, "B-X": 1, "I-X": 2, "B-Y": 3, "I-Y": 4}).alias("e")).first().e
     assert [tuple(e) for e in numbered] == [("a b d", "X"), ("e", "Y"), ("f", "Y")]
-    rows = spark.createDataFrame([(1, i, w, t) for i, (w, t) in enumerate(zip(WORDS, TAGS))], "k int, pos int, word string, tag string")
-    assert [(r.text, r.label) for r in en.iob2_rows(rows, ["k"]).orderBy("start").collect()] == [("a b", "X"), ("d", "X"), ("e", "Y"), ("f", "Y")]
+    rows = spark.createDataFrame([(1, WORDS, TAGS), (2, None, None), (3, [], [])], "k int, words array<string>, tags array<string>")
+    assert [tuple(r) for r in en.iob2_rows(rows, ["k"]).orderBy("start").collect()] == [(1, 0, "a b", "X"), (1, 3, "d", "X"), (1, 4, "e", "Y"), (1, 5, "f", "Y")]
+    assert [r.text for r in en.iob2_rows(rows, ["k"], passing_over=True).orderBy("start").collect()] == ["a b d", "e", "f"]
 
 
 def test_prompt(spark):

@@ -105,6 +105,50 @@ def test_annotators(spark):
     assert {r.id: len(r.entities) for r in annotators.answers_to_entities(answers).collect()} == {1: 1, 2: 0}
 
 
+ANSWER = '[{"start":0,"end":1,"label":"L","text":"%s","confidence":1}]'
+
+
+def test_answers_stay_with_their_rows(spark):
+    rows = [(i, f"extra{i}", ["bad", ANSWER % f"t{i}"] if i % 3 else ["bad", "{'x'", (ANSWER % f"t{i}").replace('"', "'")]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, extra string, attempts array<string>").repartition(7)
+    got = annotators.answers_to_entities(df).select("id", "extra", "entities.text").repartition(3).collect()
+    assert len(got) == 200 and all(r.extra == f"extra{r.id}" and r.text == [f"t{r.id}"] for r in got)
+    odd = spark.createDataFrame([(1, None), (2, [None]), (3, [])], "id int, attempts array<string>")
+    assert [r.entities for r in annotators.answers_to_entities(odd).collect()] == [[], [], []]
+
+
+def test_model_is_asked_again_only_for_failures():
+    calls = []
+
+    def ask(prompts):
+        calls.append(prompts)
+        return ["no" if p.endswith("bad") or (p.endswith("late") and len(calls) < 3) else ANSWER % p for p in prompts]
+
+    model = annotators.LanguageModel("find {TEXT}", ask)
+    assert [len(e) for e in model.annotate(["a", "late", "bad", None])] == [1, 1, 0, 1]
+    assert calls == [["find a", "find late", "find bad", "find "], ["find late", "find bad"], ["find late", "find bad"]]
+    several = annotators.LanguageModel("{TEXT}", lambda ps: [[ANSWER % "x", ANSWER % "y"] if p == "ok" else [ANSWER % "x", "no"] for p in ps], attempts=2, choices=2)
+    assert [[len(c) for c in t] for t in several.annotate_choices(["ok", "bad"])] == [[1, 1], [0, 0]]
+
+
+def test_model_gate_and_language_hook(spark):
+    assert annotators.allowed_model("big-model-1", "other; big") and annotators.allowed_model("any", None)
+    with pytest.raises(ValueError):
+        annotators.allowed_model("small", "other; big")
+    df = spark.createDataFrame([("abc",), (None,), ("boom",)], "text string")
+    assert [r.detected for r in annotators.with_language(df, lambda t: {"abc": "en"}[t]).collect()] == ["en", None, None]
+
+
+def test_relations_skip_small_chunks(spark):
+    class Pairs:
+        def predict(self, tokens, entities):
+            return [[{"head_pos": [0, 1], "tail_pos": [1, 2], "head_text": t[0], "tail_text": t[1], "label": "l", "score": 1.0}] for t in tokens]
+
+    df = spark.createDataFrame([(i, ["a", "b"], [{"label": "x"}] * (i % 3)) for i in range(9)], "id int, tokens array<string>, entities array<struct<label:string>>")
+    got = {r.id: len(r.relations) for r in annotators.predict_relations(df, Pairs(), ["id"], batch=2).collect()}
+    assert got == {i: int(i % 3 == 2) for i in range(9)}
+
+
 def test_resumable(spark, tmp_path):
     src, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
     spark.createDataFrame([(1,), (2,)], "a int").write.json(src)
