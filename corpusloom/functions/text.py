@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Scripts that count as real ones in the quality check.
@@ -26,6 +29,7 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+# The patterns of cleaning from here to `clean_page`, their limits and those of `is_good`.
 def fix_hyphenation(text: Column) -> Column:
     """Joins words that a hyphen splits over a line end."""
     return F.regexp_replace(text, r"(?U)(\w+)-\n(\w+)", "$1$2")
@@ -61,18 +65,28 @@ def clean_page(text: Column, repair=normalise) -> Column:
     return F.array_join(kept, "\n")
 
 
-def quality_metrics(text: Column) -> dict[str, Column]:
-    """What the page-quality rule looks at, of text with white space stripped."""
-    real = [count(text, rf"[\p{{L}}&&\p{{Is{s}}}]") for s in SCRIPTS]
-    letters = count(text, r"\p{L}")
-    return {
-        "n_chars": F.length(text),
-        "letters": letters,
-        "other_letters": letters - reduce(lambda a, b: a + b, real),
-        "scripts": reduce(lambda a, b: a + b, [(c > 0).cast("int") for c in real]),
-        "symbols": count(text, r"\p{S}"),
-        "words": count(text, r"\p{L}+"),
-    }
+def with_measures(df: DataFrame, text_col: str) -> DataFrame:
+    """Adds what the page-quality rule looks at, of text with white space stripped.
+
+    The text is reduced to its letters once, and those to what isn't Latin; scripts are only
+    counted on that rest, which is empty for most texts.  Steps are columns of their own, so
+    that no pattern runs twice.
+    """
+    steps = df.withColumn("_t", strip(F.col(text_col))).withColumn("_letters", F.regexp_replace("_t", r"\P{L}+", ""))
+    steps = steps.withColumn("_rest", F.regexp_replace("_letters", rf"\p{{Is{SCRIPTS[0]}}}+", ""))
+    counted = F.array(*[count(F.col("_rest"), rf"\p{{Is{s}}}") for s in SCRIPTS[1:]])
+    steps = steps.withColumn("_others", F.when(F.col("_rest") != "", counted).otherwise(F.array(F.lit(0))))
+    n, rest = F.length("_letters"), F.length("_rest")
+    return steps.withColumns(
+        {
+            "n_chars": F.length("_t"),
+            "letters": n,
+            "other_letters": rest - F.aggregate("_others", F.lit(0), lambda a, x: a + x),
+            "scripts": (n > rest).cast("int") + F.size(F.filter("_others", lambda x: x > 0)),
+            "symbols": count(F.col("_t"), r"\p{S}"),
+            "words": count(F.col("_t"), r"\p{L}+"),
+        }
+    ).drop("_t", "_letters", "_rest", "_others")
 
 
 def is_good(m: dict[str, Column]) -> Column:
@@ -131,13 +145,39 @@ def token_offsets(text: Column, pattern: str = REGEX_TOKEN) -> Column:
 
 
 def token_rows(df: DataFrame, keys: list[str], text_col: str, pattern: str = REGEX_TOKEN) -> DataFrame:
-    """`keys, idx, token, start, end`: one row for each token of texts of any length."""
-    pieces = F.regexp_extract_all(text_col, F.lit(r"(?U)\s+|" + pattern.removeprefix("(?U)")), 0)
-    rows = df.select(*keys, F.posexplode(pieces).alias("_at", "token"))
-    before = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    is_token = ~F.col("token").rlike(r"(?U)^\s")
-    placed = rows.select(*keys, "token", F.coalesce(F.sum(F.length("token")).over(before), F.lit(0)).alias("start"), F.coalesce(F.sum(is_token.cast("int")).over(before), F.lit(0)).alias("idx"))
-    return placed.filter(is_token).select(*keys, "idx", "token", "start", (F.col("start") + F.length("token")).alias("end"))
+    """`keys, idx, token, start, end`: one row for each token of texts of any length.
+
+    Offsets lie within a row, so they come from one scan of the text in an Arrow batch
+    function; nothing is shuffled and a batch of tokens is handed on before it grows large.
+    """
+    found = re.compile(pattern.removeprefix("(?U)")).finditer
+
+    def rows_of(batch: pa.RecordBatch, rows: list, spans: list, tokens: list) -> pa.RecordBatch:
+        counts = [len(s) for s in spans]
+        at = np.concatenate([np.array(s, dtype=np.int32).reshape(-1, 2) for s in spans])
+        place = np.concatenate([np.arange(n, dtype=np.int32) for n in counts])
+        taken = pa.array(np.repeat(np.array(rows, dtype=np.int64), counts))
+        arrays = [*[batch.column(j).take(taken) for j in range(len(keys))], pa.array(place), pa.array(tokens, pa.string()), pa.array(at[:, 0].copy()), pa.array(at[:, 1].copy())]
+        return pa.RecordBatch.from_arrays(arrays, names=[*keys, "idx", "token", "start", "end"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, spans, tokens = [], [], []
+            for i, value in enumerate(batch.column(len(keys))):
+                text = value.as_py() or ""
+                own = [m.span() for m in found(text)]
+                if own:
+                    rows.append(i)
+                    spans.append(own)
+                    tokens += [text[a:b] for a, b in own]
+                if len(tokens) > 100_000:
+                    yield rows_of(batch, rows, spans, tokens)
+                    rows, spans, tokens = [], [], []
+            if rows:
+                yield rows_of(batch, rows, spans, tokens)
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return df.select(*keys, text_col).mapInArrow(run, f"{kinds}, idx int, token string, start int, end int")
 
 
 def char_to_token_span(offsets: Column, start: Column, end: Column) -> Column:

@@ -3,18 +3,41 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+# Thresholds of the alignment, the weight of nearness, and how surfaces are joined.
 REALIGN_BELOW, ACCEPT_FROM, NEARNESS = 0.75, 0.70, 0.05
-TOKENIZERS = {"regex": re.compile(r"\w+(?:[-_]\w+)*|\S"), "whitespace": re.compile(r"\S+")}
 SURFACE_FIXES = ((re.compile(r"\s+([,.;:!?%])"), r"\1"), (re.compile(r"([(\[{])\s+"), r"\1"), (re.compile(r"\s+([)\]}])"), r"\1"), (re.compile(r"\s+'\s+"), "'"))
 SPAN = "struct<start_token:int, end_token:int, label:string, text:string, text_tokenized:string, char_start:int, char_end:int, confidence:double, alignment_method:string, alignment_score:double>"
 
+Tokenizer = Callable[[str], list[tuple[int, int]]]  # a text's tokens as (start, end), in order
+
+
+def by_pattern(pattern: str) -> Tokenizer:
+    found = re.compile(pattern).finditer
+    return lambda text: [m.span() for m in found(text)]
+
+
+_tokenizers: dict[str, Tokenizer] = {"regex": by_pattern(r"\w+(?:[-_]\w+)*|\S"), "whitespace": by_pattern(r"\S+")}
+
+
+def register_tokenizer(name: str, tokenizer: Tokenizer) -> None:
+    """Makes any tokenizer available by name, for example one that a library brings."""
+    _tokenizers[name] = tokenizer
+
+
+def tokenizer(name: str) -> Tokenizer:
+    if name not in _tokenizers:
+        raise ValueError(f"no tokenizer {name!r}; known are {sorted(_tokenizers)}")
+    return _tokenizers[name]
+
 
 def matchable(text: str) -> str:
     return re.sub(r"\W+", "", text.lower())
@@ -26,14 +49,31 @@ def similarity(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
 
 
+@dataclass(frozen=True)
+class Place:
+    """A run of tokens (ends inclusive), how it was found and how well it fits."""
+
+    first: int
+    last: int
+    method: str
+    score: float
+
+
 class Tokens:
-    """A chunk's tokens with offsets; normalised runs are made once and reused by all its entities."""
+    """A chunk's tokens with offsets, and the runs of them that resemble a surface."""
+
+    def __init__(self, text: str, cut: Tokenizer):
+        self.spans = cut(text)
+        self.words = [text[a:b] for a, b in self.spans]
+        self._of_length: dict[int, list[tuple[int, int, str]]] = {}
 
-    def __init__(self, text: str, mode: str):
-        found = list(TOKENIZERS[mode].finditer(text))
-        self.words = [m.group() for m in found]
-        self.spans = [m.span() for m in found]
-        self._runs: dict[tuple[int, int], str] = {}
+    @cached_property
+    def starts(self) -> list[int]:
+        return [a for a, _ in self.spans]
+
+    @cached_property
+    def ends(self) -> list[int]:
+        return [b for _, b in self.spans]
 
     def surface(self, first: int, last: int) -> str:
         text = " ".join(self.words[first : last + 1])
@@ -41,98 +81,109 @@ class Tokens:
             text = pattern.sub(to, text)
         return text.strip()
 
-    def matchable_run(self, first: int, last: int) -> str:
-        key = (first, last)
-        if key not in self._runs:
-            self._runs[key] = matchable(self.surface(first, last))
-        return self._runs[key]
-
     def covering(self, start: int, end: int) -> tuple[int, int] | None:
-        inside = [i for i, (a, b) in enumerate(self.spans) if b > start and a < end]
-        return (inside[0], inside[-1]) if inside else None
-
-    def best_run(self, target: str, near: int | None) -> tuple[int, int, float] | None:
-        """Run of tokens most like `target`: best by ratio plus nearness, then shortest, then leftmost."""
-        wanted = matchable(target)
-        if not wanted or not self.words:
-            return None
-        n, words = len(self.words), len(re.findall(r"\w+", target))
-        shortest, longest = (max(1, words - 2), words + 4) if words else (1, 6)
+        """First and last token that overlap [start, end)."""
+        first, last = bisect_right(self.ends, start), bisect_left(self.starts, end) - 1
+        return (first, last) if first <= last else None
+
+    def runs(self, length: int) -> list[tuple[int, int, str]]:
+        """All runs of so many tokens that hold a letter or digit, with what of them can match."""
+        if length not in self._of_length:
+            spans = [(i, i + length - 1) for i in range(len(self.words) - length + 1)]
+            self._of_length[length] = [(a, b, text) for a, b in spans if (text := matchable(self.surface(a, b)))]
+        return self._of_length[length]
+
+    def lookup(self, surface: str, near: int | None) -> Place | None:
+        """The run most like `surface`: greatest ratio plus nearness, then shortest, then leftmost.
+
+        Runs of two words fewer to four words more than the surface has (one to six, if it
+        has none) are candidates.  They are tried in order of what their length allows at
+        best, until none left could win.
+        """
+        wanted = matchable(surface)
+        n_words = len(re.findall(r"\w+", surface))
+        lengths = range(max(1, n_words - 2), n_words + 5) if n_words else range(1, 7)
+        bonus = lambda first: 0.0 if near is None else NEARNESS * (1.0 - min(abs(first - near) / len(self.words), 1.0))
+        ceiling = lambda text: 2.0 * min(len(wanted), len(text)) / (len(wanted) + len(text))
+        candidates = [(ceiling(text) + bonus(a), a, b, text) for n in lengths for a, b, text in self.runs(n)] if wanted else []
         matcher = SequenceMatcher(None, wanted)
-        top, found = -1.0, None
-        for length in range(shortest, min(longest, n) + 1):
-            for first in range(n - length + 1):
-                run = self.matchable_run(first, first + length - 1)
-                if not run:
-                    continue
-                bonus = NEARNESS * (1.0 - min(abs(first - near) / n, 1.0)) if near is not None else 0.0
-                if 2.0 * min(len(wanted), len(run)) / (len(wanted) + len(run)) + bonus <= top:
-                    continue  # no ratio of these lengths could win
-                matcher.set_seq2(run)
-                if matcher.quick_ratio() + bonus <= top:
-                    continue
-                base = matcher.ratio()
-                if base + bonus > top:
-                    top, found = base + bonus, (first, first + length - 1, base)
-        return found
-
-
-def aligned(text: str, entities: list[dict], mode: str = "regex") -> list[dict]:
-    """Entities on tokens (inclusive ends), each span and label once.
+        best: tuple | None = None
+        for most, a, b, text in sorted(candidates, key=lambda c: -c[0]):
+            if best and most < best[0]:
+                break
+            matcher.set_seq2(text)
+            if best and matcher.quick_ratio() + bonus(a) < best[0]:
+                continue
+            ratio = matcher.ratio()
+            rank = (ratio + bonus(a), a - b, -a, ratio)
+            best = rank if best is None else max(best, rank)
+        return Place(-best[2], -best[2] - best[1], "text_fuzzy", best[3]) if best else None
+
+    def place(self, start: int, end: int, surface: str) -> Place | None:
+        """Where an entity lies: at its offsets, unless its surface fits elsewhere and not there."""
+        at = self.covering(start, end)
+        given = Place(*at, "char_offset", similarity(self.surface(*at), surface)) if at else None
+        if not surface or (given and given.score >= REALIGN_BELOW):
+            return given
+        other = self.lookup(surface, given.first if given else None)
+        return other if other and other.score >= ACCEPT_FROM else given
+
+
+def aligned(text: str, entities: list[dict], mode: str | Tokenizer = "regex") -> list[dict]:
+    """Entities on tokens (inclusive ends), each span and label once, the first of equals.
 
     A span whose tokens resemble the surface by less than REALIGN_BELOW, or that covers no
     token, is looked for by surface; a match from ACCEPT_FROM on is taken, else the
     character mapping stays.  Entities without either go.
     """
-    tokens, out, seen = Tokens(text or "", mode), [], set()
+    tokens = Tokens(text or "", tokenizer(mode) if isinstance(mode, str) else mode)
+    found: dict[tuple[int, int, str], dict] = {}
     for e in entities or []:
         surface = (e["text"] or "").strip()
-        place = tokens.covering(e["start"], e["end"])
-        method, score = "char_offset", similarity(tokens.surface(*place), surface) if place else 0.0
-        if surface and (place is None or score < REALIGN_BELOW):
-            found = tokens.best_run(surface, place[0] if place else None)
-            if found and found[2] >= ACCEPT_FROM:
-                place, score, method = found[:2], found[2], "text_fuzzy"
-        if place is None or (*place, e["label"]) in seen:
-            continue
-        seen.add((*place, e["label"]))
-        out.append(
-            {
-                "start_token": place[0],
-                "end_token": place[1],
-                "label": e["label"],
-                "text": surface,
-                "text_tokenized": tokens.surface(*place) or surface,
-                "char_start": tokens.spans[place[0]][0],
-                "char_end": tokens.spans[place[1]][1],
-                "confidence": e["confidence"],
-                "alignment_method": method,
-                "alignment_score": round(score, 4),
-            }
-        )
-    return out
+        p = tokens.place(e["start"], e["end"], surface)
+        if p is not None:
+            row = {"start_token": p.first, "end_token": p.last, "label": e["label"], "text": surface, "text_tokenized": tokens.surface(p.first, p.last) or surface}
+            row |= {"char_start": tokens.starts[p.first], "char_end": tokens.ends[p.last], "confidence": e["confidence"]}
+            found.setdefault((p.first, p.last, e["label"]), row | {"alignment_method": p.method, "alignment_score": round(p.score, 4)})
+    return list(found.values())
 
 
 def align_entities(chunks: DataFrame, keys: list[str], text_col: str = "text", entities_col: str = "entities", mode: str = "regex") -> DataFrame:
-    """`keys, tokens, entities`: each chunk's tokens and its entities on them."""
+    """`keys, tokens, entities`: each chunk's tokens and its entities on them; `mode` names a tokenizer."""
+    cut = tokenizer(mode)  # looked up here, so that executors need no registration
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = pdf[keys].copy()
-            out["tokens"] = [Tokens(t or "", mode).words for t in pdf[text_col]]
-            out["entities"] = [aligned(t, list(e) if e is not None else [], mode) for t, e in zip(pdf[text_col], pdf[entities_col], strict=True)]
+            out["tokens"] = [Tokens(t or "", cut).words for t in pdf[text_col]]
+            out["entities"] = [aligned(t, list(e) if e is not None else [], cut) for t, e in zip(pdf[text_col], pdf[entities_col], strict=True)]
             yield out
 
     kinds = ", ".join(f"`{k}` {chunks.schema[k].dataType.simpleString()}" for k in keys)
     return chunks.select(*keys, text_col, entities_col).mapInPandas(run, f"{kinds}, tokens array<string>, entities array<{SPAN}>")
 
 
-def spans_on_tokens(spans: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """Character spans `keys, start, end` -> the same, once each, with `first, last` token that overlaps them, null if none does.
+def spans_on_tokens(df: DataFrame, keys: list[str], text_col: str = "text", spans_col: str = "spans", mode: str = "regex") -> DataFrame:
+    """Character spans (structs with `start, end`) -> `keys, start, end, first, last`: each once, with the tokens that overlap it, null if none does.
 
-    `tokens` comes from `token_rows`; the join is on the keys, the overlap decides inside them.
+    Everything happens inside the row, in batches: tokens are cut and searched by bisection, nothing is shuffled.
     """
-    t = tokens.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("idx").alias("_idx"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    same = [F.col(k) == F.col(f"_{k}") for k in keys]
-    joined = spans.join(t, [*same, F.col("_e") > F.col("start"), F.col("_s") < F.col("end")], "left")
-    return joined.groupBy(*keys, "start", "end").agg(F.min("_idx").cast("int").alias("first"), F.max("_idx").cast("int").alias("last"))
+    cut = tokenizer(mode)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows, found = [], []
+            for i, (text, spans) in enumerate(zip(pdf[text_col], pdf[spans_col], strict=True)):
+                if spans is None or not len(spans):
+                    continue
+                tokens = Tokens(text or "", cut)
+                for start, end in dict.fromkeys((s["start"], s["end"]) for s in spans):
+                    rows.append(i)
+                    found.append((start, end, *(tokens.covering(start, end) or (None, None))))
+            out = pdf[keys].iloc[rows].reset_index(drop=True)
+            for j, c in enumerate(("start", "end", "first", "last")):
+                out[c] = pd.array([f[j] for f in found], dtype="Int32")
+            yield out
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return df.select(*keys, text_col, spans_col).mapInPandas(run, f"{kinds}, start int, end int, first int, last int")

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import math
+from functools import cache, reduce
+from itertools import combinations_with_replacement
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.functions import pandas_udf
+
+from corpusloom.shared import stash
 
 LENGTH_BUCKETS = ((3, "1-3"), (7, "4-7"), (15, "8-15"), (30, "16-30"))
-#: 97.5 % quantiles of Student's t by degrees of freedom.
-T_975 = {1: 12.706205, 2: 4.302653, 3: 3.182446, 4: 2.776445, 5: 2.570582, 6: 2.446912, 7: 2.364624, 8: 2.306004, 9: 2.262157}
+HISTOGRAM = 4096
 
 
 def ratio(top: Column, bottom: Column) -> Column:
@@ -128,51 +134,112 @@ def entity_pairs(raw: Column) -> Column:
     return F.coalesce(F.filter(F.transform(items, pair), lambda e: e["text"].isNotNull() & e["label"].isNotNull()), F.array().cast("array<struct<text:string,label:string>>"))
 
 
-def entity_sets(rows: DataFrame, spine: DataFrame, runs: list) -> DataFrame:
-    """`rec, run, ents`: each run's sorted set of (text, label) for every record, empty where it found none."""
-    found = rows.groupBy("rec", "run").agg(F.array_sort(F.collect_set(F.struct("text", "label"))).alias("ents"))
-    every = spine.select("rec", F.explode(F.array(*map(F.lit, runs))).alias("run"))
-    none = F.array().cast(found.schema["ents"].dataType)
-    return every.join(found, ["rec", "run"], "left").select("rec", "run", F.coalesce("ents", none).alias("ents"))
+def run_masks(rows: DataFrame, runs: list) -> DataFrame:
+    """`rec, run, text, label` -> `rec, mask` for each distinct entity of a record: bit i is set if run i has it.
+
+    Dealt by record once; both this grouping and one by record are local after that.
+    """
+    known = F.create_map(*[x for i, r in enumerate(runs) for x in (F.lit(r), F.lit(1 << i).cast("long"))])
+    bit = F.try_element_at(known, F.col("run"))
+    marked = rows.select("rec", "text", "label", bit.alias("bit")).filter("bit is not null")
+    return marked.repartition("rec").groupBy("rec", "text", "label").agg(F.bit_or("bit").alias("mask"))
 
 
-def pairwise_agreement(sets: DataFrame, runs: list) -> DataFrame:
-    """Mean Jaccard, entity F1 and share of exact matches over common records, for each pair of runs, a run with itself too.
+def pairwise_agreement(rows: DataFrame, spine: DataFrame, runs: list) -> DataFrame:
+    """Mean Jaccard, entity F1 and share of exact matches over the records of `spine`, for each pair of runs, a run with itself too.
 
-    Runs are gathered by record first; pairs come from that one row, so there is no self-join.
-    Two empty sets agree fully.
+    An entity is a record's (text, label).  Each record's entities become one bit mask of
+    runs, so all pairs come from one grouping; at most 63 runs.  Two empty sets agree fully,
+    also in records where no run found anything.
     """
-    by_record = sets.groupBy("rec").agg(F.map_from_entries(F.collect_list(F.struct("run", "ents"))).alias("m"))
-    pairs = [(a, b) for i, a in enumerate(runs) for b in runs[i:]]
-    pair = F.explode(F.array(*[F.struct(F.lit(a).alias("run_a"), F.lit(b).alias("run_b"), F.try_element_at("m", F.lit(a)).alias("x"), F.try_element_at("m", F.lit(b)).alias("y")) for a, b in pairs]))
-    both = by_record.select(pair.alias("p")).select("p.*").filter("x is not null and y is not null")
-    shared, a, b = F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y")
-    empty = (a == 0) & (b == 0)
-    scored = both.select(
-        "run_a",
-        "run_b",
-        F.when(empty, 1.0).otherwise(shared.cast("double") / (a + b - shared)).alias("jaccard"),
-        F.when(empty, 1.0).otherwise(2 * shared.cast("double") / (a + b)).alias("entity_f1"),
-        ((shared == a) & (shared == b)).cast("double").alias("exact"),
-    )
-    return scored.groupBy("run_a", "run_b").agg(
-        F.count(F.lit(1)).alias("n_common_chunks"), F.avg("jaccard").alias("jaccard"), F.avg("entity_f1").alias("entity_f1"), F.avg("exact").alias("exact_match_rate")
-    )
+    pairs = list(combinations_with_replacement(range(len(runs)), 2))
+    has = lambda *bits: F.sum((F.col("mask").bitwiseAND(sum(1 << b for b in set(bits))) == sum(1 << b for b in set(bits))).cast("long"))
+    counts = run_masks(rows, runs).groupBy("rec").agg(*[has(a, b).alias(f"n{a}_{b}") for a, b in pairs])
+    every = spine.select(F.col("rec").alias("_rec")).join(counts, F.col("_rec") == F.col("rec"), "left")
+    n = lambda a, b: F.coalesce(F.col(f"n{a}_{b}"), F.lit(0)).cast("double")
+    means = []
+    for a, b in pairs:
+        shared, one, two = n(a, b), n(a, a), n(b, b)
+        empty = one + two == 0
+        means += [
+            F.avg(F.when(empty, 1.0).otherwise(shared / (one + two - shared))).alias(f"j{a}_{b}"),
+            F.avg(F.when(empty, 1.0).otherwise(2 * shared / (one + two))).alias(f"f{a}_{b}"),
+            F.avg(((shared == one) & (shared == two)).cast("double")).alias(f"e{a}_{b}"),
+        ]
+    wide = every.agg(F.count(F.lit(1)).alias("n"), *means).filter("n > 0")
+    found = [
+        F.struct(
+            F.lit(runs[a]).alias("run_a"), F.lit(runs[b]).alias("run_b"), F.col("n").alias("n_common_chunks"),
+            F.col(f"j{a}_{b}").alias("jaccard"), F.col(f"f{a}_{b}").alias("entity_f1"), F.col(f"e{a}_{b}").alias("exact_match_rate"),
+        )
+        for a, b in pairs
+    ]
+    return wide.select(F.inline(F.array(*found)))
+
+
+def agreement_matrix(pairs: DataFrame, runs: list, measure: str) -> DataFrame:
+    """Symmetric matrix of a measure of `pairwise_agreement`: `run` and a column `run_<r>` for each run."""
+    both = pairs.select(F.col("run_a").alias("run"), F.col("run_b").alias("other"), measure)
+    both = both.union(pairs.filter("run_a <> run_b").select("run_b", "run_a", measure))
+    return both.groupBy("run").pivot("other", runs).agg(F.first(measure)).withColumnsRenamed({str(r): f"run_{r}" for r in runs})
+
+
+def consensus(rows: DataFrame, spine: DataFrame, runs: list) -> DataFrame:
+    """Share of the records of `spine` for which all runs found the same entities."""
+    same = run_masks(rows, runs).groupBy("rec").agg(F.min((F.col("mask") == (1 << len(runs)) - 1).cast("int")).alias("same"))
+    every = spine.select(F.col("rec").alias("_rec")).join(same, F.col("_rec") == F.col("rec"), "left")
+    return every.agg(F.count(F.lit(1)).alias("n_common_chunks"), F.avg(F.coalesce("same", F.lit(1)).cast("double")).alias("consensus_rate"))
+
+
+@cache
+def student_t(freedom: int, share: float = 0.95) -> float:
+    """Value that the absolute of Student's t stays below with probability `share`, to 6 places.
+
+    The probability is a finite sum over powers of the cosine of atan(t / sqrt(n)); it is
+    inverted by bisection.  Beyond 2000 degrees of freedom the normal quantile with its first
+    two corrections is exact to that many places.
+    """
+    if freedom > 2000:
+        z = 1.959963984540054 if share == 0.95 else student_t(2000, share)
+        return round(z + (z**3 + z) / (4 * freedom) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * freedom**2), 6)
+
+    def inside(t: float) -> float:
+        angle = math.atan(t / math.sqrt(freedom))
+        cos, sin = math.cos(angle), math.sin(angle)
+        odd = freedom % 2
+        term, total = (cos, cos) if odd else (1.0, 1.0)
+        for k in range(3 if odd else 2, freedom - 1, 2):
+            term *= cos * cos * (k - 1) / k
+            total += term
+        return 2 / math.pi * (angle + (sin * total if freedom > 1 else 0)) if odd else sin * total
+
+    low, high = 0.0, 1.0
+    while inside(high) < share:
+        high *= 2
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if inside(middle) < share else (low, middle)
+    return round(low, 6)
 
 
-def consensus(sets: DataFrame, n_runs: int) -> DataFrame:
-    """Share of records, of those every run has, for which all runs' sets are equal."""
-    by_record = sets.groupBy("rec").agg(F.countDistinct("ents").alias("kinds"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == n_runs)
-    return by_record.agg(F.count(F.lit(1)).alias("n_common_chunks"), F.avg((F.col("kinds") == 1).cast("double")).alias("consensus_rate"))
+@pandas_udf(T.DoubleType())
+def _t_of_runs(n: pd.Series) -> pd.Series:
+    return n.map(lambda k: student_t(int(k) - 1) if k > 1 else None).astype("float64")
 
 
-def run_interval(per_run: DataFrame, metrics: list[str]) -> DataFrame:
-    """`metric, mean, ci95_low, ci95_high, plus_minus, n_runs` by Student's t over runs (two or more, ten at most)."""
-    long = per_run.unpivot(["run"], metrics, "metric", "value")
-    out = long.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("s"), F.count(F.lit(1)).alias("n_runs"))
-    t = F.element_at(F.create_map(*[F.lit(x) for k, v in T_975.items() for x in (k + 1, v)]), F.col("n_runs").cast("int"))
-    pm = t * F.col("s") / F.sqrt(F.col("n_runs").cast("double"))
-    return out.withColumn("plus_minus", pm).select("metric", "mean", (F.col("mean") - pm).alias("ci95_low"), (F.col("mean") + pm).alias("ci95_high"), "plus_minus", "n_runs")
+def run_interval(per_run: DataFrame, metrics: list[str], dims: list[str] | None = None) -> DataFrame:
+    """`dims, metric, mean, ci95_low, ci95_high, plus_minus, n_runs` by Student's t over any number of runs; no interval for one."""
+    dims = dims or []
+    long = per_run.unpivot(["run", *dims], metrics, "metric", "value")
+    out = long.groupBy(*dims, "metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("s"), F.count(F.lit(1)).alias("n_runs"))
+    pm = _t_of_runs("n_runs") * F.col("s") / F.sqrt(F.col("n_runs").cast("double"))
+    out = out.withColumn("plus_minus", pm)
+    return out.select(*dims, "metric", "mean", (F.col("mean") - F.col("plus_minus")).alias("ci95_low"), (F.col("mean") + F.col("plus_minus")).alias("ci95_high"), "plus_minus", "n_runs")
+
+
+def mean_confusions(per_run: DataFrame, n_runs: int) -> DataFrame:
+    """Confusions `run, gold_label, pred_label, count` averaged over all runs; a run without one counts as 0."""
+    return per_run.groupBy("gold_label", "pred_label").agg((F.sum("count").cast("double") / n_runs).alias("count"))
 
 
 def mean_over_runs(per_run: DataFrame, dims: list[str], measures: list[str]) -> DataFrame:
@@ -180,9 +247,37 @@ def mean_over_runs(per_run: DataFrame, dims: list[str], measures: list[str]) ->
     return per_run.groupBy(*dims).agg(*[F.avg(F.col(m).cast("double")).alias(m) for m in measures], F.count(F.lit(1)).alias("n_runs"))
 
 
+def exact_percentile(rows: DataFrame, by: list[str], value: str, share: float, name: str) -> DataFrame:
+    """`by, name`: each group's percentile of `value`, interpolated, without gathering a group's values.
+
+    Distinct values are counted and written once.  A histogram of HISTOGRAM buckets between a
+    group's least and greatest value tells which bucket (two, if the rank falls between) holds
+    the rank; only the values of that bucket are put in order.  Nulls don't take part.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = stash(counts, "percentile")
+    same = [f"_{c}" for c in by]
+    spread = counts.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.min("_v").alias("_least"), F.max("_v").alias("_most"), F.sum("_n").alias("_all"))
+    matching = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(s)) for c, s in zip(by, same, strict=True)])
+    room = F.col("_most") - F.col("_least")
+    bucket = F.when(room > 0, F.floor((F.col("_v") - F.col("_least")) / room * HISTOGRAM)).otherwise(F.lit(0)).cast("int")
+    placed = counts.join(spread, matching).withColumn("_bucket", bucket)
+    histogram = placed.groupBy(*same, "_bucket").agg(F.sum("_n").alias("_in"), F.first("_all").alias("_all"))
+    place = (F.col("_all") - 1) * F.lit(float(share))
+    upto = F.sum("_in").over(Window.partitionBy(*same).orderBy("_bucket"))
+    marked = histogram.withColumn("_before", upto - F.col("_in")).filter((F.col("_before") <= F.ceil(place)) & (F.col("_before") + F.col("_in") > F.floor(place)))
+    marked = marked.select(*[F.col(c).alias(f"_{c}") for c in same], F.col("_bucket").alias("_b"), "_before")
+    inside = placed.join(marked, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same]) & (F.col("_bucket") == F.col("_b")))
+    ranked = inside.withColumn("_upto", F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "_bucket").orderBy("_v")))
+    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_v")))
+    ends = ranked.groupBy(*by).agg(at(F.floor(place)).alias("_low"), at(F.ceil(place)).alias("_high"), F.first("_all").alias("_all"))
+    between = (F.ceil(place) - place) * F.col("_low") + (place - F.floor(place)) * F.col("_high")
+    return ends.select(*by, F.when(F.floor(place) == F.ceil(place), F.col("_low")).otherwise(between).alias(name))
+
+
 def label_thresholds(rows: DataFrame, share: float = 0.4) -> DataFrame:
     """`label, threshold`: the confidence that the top `share` of a label's entities reach, interpolated."""
-    return rows.groupBy("label").agg(F.percentile("conf", 1 - share).alias("threshold"))
+    return exact_percentile(rows, ["label"], "conf", 1 - share, "threshold")
 
 
 def above_label_threshold(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -209,18 +304,28 @@ def coverage(gold: DataFrame, pred: DataFrame, key: list[str]) -> DataFrame:
     return out.withColumn("aligned_ratio_vs_gold", ratio(F.col("aligned_chunks_used"), F.col("gold_chunks_available")))
 
 
+def poisson_steps(bits: int = 40) -> list[float]:
+    """Cumulative probabilities of a Poisson(1) variable, as far as `bits` bits can tell them from 1."""
+    steps, term, total = [], math.exp(-1), 0.0
+    while 1 - total > 2.0**-bits:
+        total += term
+        term /= len(steps) + 1
+        steps.append(total)
+    return steps
+
+
 def bootstrap_interval(counts: DataFrame, iterations: int = 200, seed: int = 42) -> DataFrame:
     """Percentile interval of micro F1 when records are drawn anew.
 
     `counts` has `rec, gold, pred, correct`.  Each record enters each replicate as often as a
-    Poisson(1) variable says that hashes of record and replicate determine: one pass, no
-    resampling on the driver, equal results on every run.
+    Poisson(1) variable says that 40 bits of the MD5 of seed, record and replicate determine:
+    one pass, no resampling on the driver, equal results on every run and in any engine.
     """
     drawn = counts.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("rec"), F.col("replicate")), F.lit(1 << 40)).cast("double") / (1 << 40)
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    times = reduce(lambda a, b: a + b, [(u >= s).cast("int") for s in steps])
-    summed = drawn.withColumn("w", times).groupBy("replicate").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("gold", "pred", "correct")])
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rec").cast("string"), F.col("replicate").cast("string")).cast("binary"))
+    u = F.conv(F.substring(digest, 1, 10), 16, 10).cast("long").cast("double") / (1 << 40)
+    times = reduce(lambda a, b: a + b, [(F.col("_u") >= s).cast("int") for s in poisson_steps()])
+    summed = drawn.withColumn("_u", u).withColumn("w", times).groupBy("replicate").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("gold", "pred", "correct")])
     return with_prf(summed).agg(F.avg("f1").alias("mean"), F.percentile("f1", 0.025).alias("ci95_low"), F.percentile("f1", 0.975).alias("ci95_high"), F.count(F.lit(1)).alias("n_bootstrap"))
 
 

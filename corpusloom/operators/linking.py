@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.evaluate import ratio
+from corpusloom.operators.evaluate import exact_percentile, ratio
+from corpusloom.shared import stash
 
 
 def confident_links(links: DataFrame, limit: float = 0.8) -> DataFrame:
@@ -63,15 +64,24 @@ def merged_outputs(left: DataFrame, right: DataFrame, models: list[str], key: st
     return joined.select(F.when(F.col("_l.model").isin(models) & F.col("_key").isNotNull(), F.col("_r")).otherwise(F.col("_l")).alias("_o")).select("_o.*")
 
 
-def interleaved(left: DataFrame, right: DataFrame, order: list[str]) -> DataFrame:
-    """Rows of two tables by position, left first, as far as the shorter goes: `idx, side` and the columns.
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """`df` with `idx`, each row's place in the given order, from 0.
 
-    Positions come from a rank by `order`: ranks need one global order, so tables of any size
-    should bring their position as a column and pass it as `order`.
+    Rows are dealt out by range and written; a row's place is its place in its range plus the
+    counts of the ranges before, so no task sees all rows.  Ties of `order` count in any order.
     """
-    w = Window.orderBy(*order)
-    sides = [df.withColumn("idx", F.row_number().over(w) - 1).withColumn("side", F.lit(i)) for i, df in enumerate((left, right))]
+    ranges = stash(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy(F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_r")) - F.col("_n"))  # a row for each range
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    placed = ranges.withColumn("_inside", inside).join(F.broadcast(offsets), F.col("_range") == F.col("_r"))
+    return placed.withColumn("idx", (F.col("_before") + F.col("_inside") - 1).cast("long")).drop("_range", "_r", "_n", "_before", "_inside")
+
+
+def interleaved(left: DataFrame, right: DataFrame, order: list[str]) -> DataFrame:
+    """Rows of two tables by position, left first, as far as the shorter goes: `idx, side` and the columns."""
     n = F.least(*[F.lit(df.count()) for df in (left, right)])
+    sides = [numbered(df, order).withColumn("side", F.lit(i)) for i, df in enumerate((left, right))]
     return sides[0].unionByName(sides[1]).filter(F.col("idx") < n)
 
 
@@ -80,26 +90,57 @@ def unfinished(inputs: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
     return inputs.join(outputs.select(key).distinct(), key, "left_anti")
 
 
-def linkability(entities: DataFrame, links: DataFrame, dims: list[str], share: float = 0.4) -> DataFrame:
+def linkability(entities: DataFrame, links: DataFrame, models: list[str], dims: list[str] | None = None, share: float = 0.4) -> DataFrame:
     """Share of entities that are linked, at all and at the linker confidence of its top `share`.
 
-    Both tables have `model, rec, chunk`; only chunks that every model and the links have
-    count.  The threshold is the model's percentile of its links' confidence.
+    Both tables have `model, rec, chunk, text` (links no model, but `confidence`); an entity
+    row without text says that its model saw the chunk and found nothing.  Only chunks that
+    all `models` and the links have count: `aligned_chunks` (not by `dims`).  The threshold
+    is the model's percentile of its links' confidence.
+
+    One shuffle by chunk brings both tables together; windows over it find the common chunks
+    and each surface's best link, and the result is written once for threshold and counts.
     """
+    dims = dims or []
     chunk = ["rec", "chunk"]
-    n_models = entities.select("model").distinct().count()
-    common = entities.select("model", *chunk).distinct().groupBy(*chunk).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == n_models).select(*chunk)
-    common = common.join(links.select(*chunk).distinct(), chunk, "left_semi")
-    rows = entities.join(common, chunk, "left_semi")
-    best = links.groupBy(*chunk, "text").agg(F.max("confidence").alias("_conf"))
-    tied = rows.join(best, [*chunk, "text"], "left")
-    limits = tied.groupBy("model").agg(F.percentile("_conf", 1 - share).alias("threshold"))
-    marked = tied.join(F.broadcast(limits), "model")
-    total, linked = F.count(F.lit(1)), F.count("_conf")
-    top = F.sum(F.when(F.col("_conf") >= F.col("threshold"), 1).otherwise(0))
-    out = marked.groupBy("model", *dims).agg(
-        F.countDistinct(*chunk).alias("chunks_with_entities"), total.alias("total_entities"), linked.alias("linked_entities"), top.alias("linked_entities_top"), F.max("threshold").alias("threshold")
+    own = entities.filter(F.col("model").isin(models)).select(*chunk, "text", "model", *dims, F.lit(None).cast("double").alias("_c"), F.lit(0).alias("_is_link"))
+    found = links.select(*chunk, "text", F.lit(None).cast("string").alias("model"), *[F.lit(None).cast("string").alias(d) for d in dims], F.col("confidence").cast("double").alias("_c"), F.lit(1).alias("_is_link"))
+    w = Window.partitionBy(*chunk)
+    seen = own.unionByName(found).select(
+        "*", F.size(F.collect_set("model").over(w)).alias("_models"), F.max("_is_link").over(w).alias("_any"), F.max("_c").over(Window.partitionBy(*chunk, "text")).alias("_conf")
     )
+    common = seen.filter((F.col("_is_link") == 0) & (F.col("_models") == len(set(models))) & (F.col("_any") == 1))
+    tied = stash(common.select(*chunk, "model", *dims, "text", F.when(F.col("text").isNotNull(), F.col("_conf")).alias("_conf")), "linkability")
+    limits = exact_percentile(tied, ["model"], "_conf", 1 - share, "threshold").withColumnRenamed("model", "_model")
+    marked = tied.join(F.broadcast(limits), F.col("model") == F.col("_model"), "left")  # a row for each model
+    top = F.sum(F.when(F.col("_conf") >= F.col("threshold"), 1).otherwise(0))
+    per = marked.groupBy("model", *dims, *chunk).agg(F.count("text").alias("n"), F.count("_conf").alias("k"), top.alias("t"), F.max("threshold").alias("threshold"))
+    yes = lambda c: F.sum((F.col(c) > 0).cast("long"))
+    aligned = [] if dims else [F.count(F.lit(1)).alias("aligned_chunks")]
+    out = per.groupBy("model", *dims).agg(
+        *aligned, yes("n").alias("chunks_with_entities"), yes("k").alias("chunks_with_any_linked_entity"), F.sum("n").alias("total_entities"), F.sum("k").alias("linked_entities"),
+        F.sum("t").alias("linked_entities_top"), F.max("threshold").alias("threshold"),
+    )
     return out.withColumns(
         {"linkability_rate": ratio(F.col("linked_entities"), F.col("total_entities")), "linkability_rate_top": ratio(F.col("linked_entities_top"), F.col("total_entities"))}
     )
+
+
+def mean_of_runs(per_run: DataFrame, group: dict[str, str]) -> DataFrame:
+    """Linkability rows of several runs as one row for each name in `group` (run -> name): means of counts and of rates."""
+    known = F.create_map(*[F.lit(x) for kv in group.items() for x in kv])
+    named = per_run.withColumn("_name", F.coalesce(F.try_element_at(known, F.col("model")), F.col("model")))
+    measures = [c for c in per_run.columns if c != "model"]
+    return named.groupBy(F.col("_name").alias("model")).agg(*[F.avg(c).alias(c) for c in measures])
+
+
+def with_pages(docs: DataFrame, pages: DataFrame, key: str = "url") -> DataFrame:
+    """Documents with the text fetched for their url; documents without one go, a url asked for twice keeps all its rows."""
+    clash = [c for c in pages.columns if c in docs.columns and c != key]
+    fetched = pages.withColumnsRenamed({c: f"page_{c}" for c in clash})
+    return docs.join(fetched, key)
+
+
+def from_domain(df: DataFrame, pattern: str, column: str = "doc_id") -> DataFrame:
+    """Rows whose id holds a match of `pattern`, anywhere in it."""
+    return df.filter(F.col(column).cast("string").rlike(pattern))

@@ -12,8 +12,7 @@ MIN_PAGES = 5
 
 def with_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds the quality measures of stripped text and `is_good`."""
-    stripped = docs.withColumn("_stripped", tx.strip(F.col(text_col)))
-    measured = stripped.withColumns(tx.quality_metrics(F.col("_stripped"))).drop("_stripped")
+    measured = tx.with_measures(docs, text_col)
     return measured.withColumn("is_good", tx.is_good({k: F.col(k) for k in ("n_chars", "letters", "other_letters", "scripts", "symbols", "words")}))
 
 

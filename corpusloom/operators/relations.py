@@ -19,27 +19,38 @@ RULES = {
 }
 
 
+SIDES = ("allowed_head", "allowed_tail")
+
+
+def is_name(x) -> bool:
+    return isinstance(x, str) and bool(x.strip())
+
+
 def canonical(label: str) -> str:
     text = label.strip().replace("_", " ")
     return ALIASES.get(" ".join(text.split()).lower(), text)
 
 
 def validated_rules(rules: dict) -> dict[str, dict[str, list[str]]]:
-    """Rules with canonical labels, sorted and without repeats; ValueError if they are malformed."""
-    if not isinstance(rules, dict) or not rules:
-        raise ValueError("rules must be a dict with at least one relation")
-    out = {}
-    for relation, sides in rules.items():
-        if not isinstance(relation, str) or not relation.strip():
-            raise ValueError(f"not a relation name: {relation!r}")
-        for side in ("allowed_head", "allowed_tail"):
-            labels = sides.get(side) if isinstance(sides, dict) else None
-            if not isinstance(labels, list) or not labels or not all(isinstance(x, str) and x.strip() for x in labels):
-                raise ValueError(f"{relation!r} needs a list of labels as {side}")
-        out[relation.strip()] = {side: sorted({canonical(x) for x in sides[side]}) for side in ("allowed_head", "allowed_tail")}
+    """Rules with canonical labels, sorted and without repeats; one ValueError names every malformed entry."""
+    table = [(relation, side, sides.get(side) if isinstance(sides, dict) else None) for relation, sides in (rules.items() if isinstance(rules, dict) else ()) for side in SIDES]
+    sound = lambda relation, labels: is_name(relation) and isinstance(labels, list) and labels and all(map(is_name, labels))
+    wrong = [f"{relation!r} {side}: {labels!r}" for relation, side, labels in table if not sound(relation, labels)]
+    if wrong or not table:
+        raise ValueError("malformed rules: " + ("; ".join(wrong) or "no relation given"))
+    out: dict[str, dict[str, list[str]]] = {}
+    for relation, side, labels in table:
+        out.setdefault(relation.strip(), {})[side] = sorted(set(map(canonical, labels)))
     return out
 
 
+def relation_labels(given: list[str] | None, rules: dict | None = None) -> tuple[list[str], list[str]]:
+    """Labels to ask for, stripped, once each in the given order (those of the rules if none is given), and those without a rule."""
+    known = RULES if rules is None else rules
+    labels = list(dict.fromkeys(x.strip() for x in given if is_name(x)) if given else known)
+    return labels, [x for x in labels if x not in known]
+
+
 def allowed(rules: dict, relation: Column, heads: Column, tails: Column) -> Column:
     """Whether some head and some tail label fit the relation's rule; relations without a rule are allowed."""
     checked = validated_rules(rules)
@@ -95,3 +106,22 @@ def decoded(relations: DataFrame, tokens: str = "tokens") -> DataFrame:
 
     surface = lambda pos: tokens_to_surface(F.slice(tokens, F.get(pos, F.lit(0)) + 1, F.get(pos, F.lit(1)) - F.get(pos, F.lit(0))))
     return relations.withColumns({f"{s}_text": surface(F.col(f"{s}_pos")) for s in ("head", "tail")})
+
+
+def relation_report(chunks: DataFrame, relations: DataFrame, entities: DataFrame, chunk: list[str], rules: dict | None = None, labels_only: bool = False) -> DataFrame:
+    """One row of sample statistics: chunks, aligned entities by method, mean alignment score, relations raw and kept.
+
+    `chunks` has the chunk's key and `entities` as `align_entities` gives them; `relations`
+    and `entities` are what `constrained` takes.  With `labels_only` no rule applies.
+    """
+    each = chunks.select(F.explode("entities").alias("e")).select("e.alignment_method", "e.alignment_score")
+    count = lambda cond: F.coalesce(F.sum(cond.cast("long")), F.lit(0))
+    method = F.col("alignment_method")
+    aligned = each.agg(
+        count(method == "char_offset").alias("by_offset"), count(method == "text_fuzzy").alias("by_text"), F.coalesce(F.bround(F.avg("alignment_score"), 4), F.lit(0.0)).alias("alignment_score_avg")
+    )
+    kept = relations if labels_only else constrained(relations, entities, chunk, rules)
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    parts = [one(chunks, "total_chunks"), aligned, one(relations, "relations_raw"), one(kept, "relations_kept")]
+    keyed = [p.withColumn("_one", F.lit(1)) for p in parts]  # a row each
+    return keyed[0].join(keyed[1], "_one").join(keyed[2], "_one").join(keyed[3], "_one").drop("_one")

@@ -9,11 +9,16 @@ MENTION = r"[A-Z][a-z]{2,}"
 LABELS = ("Person", "Place", "Organization", "Event")
 
 
+#: Session setting: into how many tasks scans of texts are dealt out.  Unset, scans stay as Spark cuts them, which
+#: `spark.sql.files.maxPartitionBytes` steers; a file of a single row group can't be cut, so a benchmark on one such file sets this.
+SCAN_TASKS = "spark.corpusloom.scanTasks"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; texts in fewer files than there are cores are dealt out first, as a file may be one row group."""
+    """A table, by default exactly as Spark scans it; see SCAN_TASKS, which changes no result."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name == "documents" and len(df.inputFiles()) < cores else df
+    tasks = spark.conf.get(SCAN_TASKS, None)
+    return df.repartition(int(tasks)) if tasks and name == "documents" else df
 
 
 def label_of(n: Column) -> Column:

@@ -146,11 +146,16 @@ def linkability_inputs(spark, sf_dir):
 
 
 def linkability(spark, sf_dir):
-    return linking.linkability(*linkability_inputs(spark, sf_dir), [])
+    return linking.linkability(*linkability_inputs(spark, sf_dir), ["a", "b", "c"])
 
 
 def linkability_by_label(spark, sf_dir):
-    return linking.linkability(*linkability_inputs(spark, sf_dir), ["label"])
+    return linking.linkability(*linkability_inputs(spark, sf_dir), ["a", "b", "c"], ["label"])
+
+
+def linkability_average(spark, sf_dir):
+    """One row for model a and one for b and c together, as runs of one model."""
+    return linking.mean_of_runs(linkability(spark, sf_dir), {"b": "b and c", "c": "b and c"})
 
 
 def merge_outputs(spark, sf_dir):
@@ -194,9 +199,7 @@ def lines_with_entities(spark, sf_dir):
 
 
 def char_to_token_span(spark, sf_dir):
-    lines = lines_with_entities(spark, sf_dir)
-    spans = lines.select("doc_id", "line", F.explode("entities").alias("e")).select("doc_id", "line", F.col("e.start").alias("start"), F.col("e.end").alias("end"))
-    return align.spans_on_tokens(spans, tx.token_rows(lines, ["doc_id", "line"], "text"), ["doc_id", "line"])
+    return align.spans_on_tokens(lines_with_entities(spark, sf_dir), ["doc_id", "line"], spans_col="entities")
 
 
 def fuzzy_align(spark, sf_dir):
@@ -267,7 +270,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         parse_llm_response, validate_entities, normalize_entities, ents_polymorphic, label_remap_filter, canonical_labels, iob2_decode_string, iob2_decode_numeric, link_confidence_filter,
-        link_left_collect, link_first_chunk, linkability, linkability_by_label, merge_outputs, positional_interleave, resume_anti_join, dedup_first, last_source_join, char_to_token_span, fuzzy_align,
+        link_left_collect, link_first_chunk, linkability, linkability_by_label, linkability_average, merge_outputs, positional_interleave, resume_anti_join, dedup_first, last_source_join, char_to_token_span, fuzzy_align,
         alignment_stats, relation_constraints, relation_error_rate, prompt_filling, entity_pair_parsing, gazetteer_annotate,
     )
 }
@@ -281,13 +284,15 @@ ok AS (SELECT doc_id, entity_text, linked_entity, confidence, TRY_CAST(chunk_idx
 
 def sql_linkability(dims: str) -> str:
     d = f", {dims}" if dims else ""
+    aligned = "" if dims else "count(DISTINCT (rec, chunk)) AS aligned_chunks, "
     return f"""WITH {SQL_MENTIONS}, e AS (SELECT model, doc_id AS rec, i % 3 AS chunk, txt, label FROM pred),
 l AS (SELECT doc_id AS rec, i % 3 AS chunk, txt, conf FROM fa WHERE i % 2 = 0),
 cm AS (SELECT rec, chunk FROM e GROUP BY rec, chunk HAVING count(DISTINCT model) = 3 INTERSECT SELECT rec, chunk FROM l),
 b AS (SELECT rec, chunk, txt, max(conf) AS c FROM l GROUP BY ALL),
 t AS (SELECT e.*, b.c FROM e SEMI JOIN cm USING (rec, chunk) LEFT JOIN b USING (rec, chunk, txt)),
 th AS (SELECT model, quantile_cont(c, 0.6) AS threshold FROM t GROUP BY model)
-SELECT model{d}, count(DISTINCT (rec, chunk)) AS chunks_with_entities, count(*) AS total_entities, count(c) AS linked_entities, count(*) FILTER (WHERE c >= threshold) AS linked_entities_top,
+SELECT model{d}, {aligned}count(DISTINCT (rec, chunk)) AS chunks_with_entities, count(DISTINCT (rec, chunk)) FILTER (WHERE c IS NOT NULL) AS chunks_with_any_linked_entity,
+  count(*) AS total_entities, count(c) AS linked_entities, count(*) FILTER (WHERE c >= threshold) AS linked_entities_top,
   max(threshold) AS threshold, CAST(count(c) AS DOUBLE) / count(*) AS linkability_rate, CAST(count(*) FILTER (WHERE c >= threshold) AS DOUBLE) / count(*) AS linkability_rate_top
 FROM t JOIN th USING (model) GROUP BY model{d}"""
 
@@ -335,6 +340,7 @@ SELECT d.doc_id, CAST(c.k AS INTEGER) AS chunk_idx, coalesce(linked, '') AS link
 SELECT q.doc_id, entity_text, CAST(nullif(list_position(list_transform(l, lambda c: contains(c, entity_text)), TRUE), 0) - 1 AS INTEGER) AS chunk_idx FROM q JOIN s USING (doc_id)""",
     "linkability": sql_linkability(""),
     "linkability_by_label": sql_linkability("label"),
+    "linkability_average": f"""SELECT CASE WHEN model = 'a' THEN 'a' ELSE 'b and c' END AS model, avg(COLUMNS(* EXCLUDE model)) FROM ({sql_linkability("")}) GROUP BY 1""",
     "merge_outputs": """SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL AND d.doc_id % 3 < 2 THEN 'm9' ELSE 'm' || (d.doc_id % 3) END AS model,
 CASE WHEN l.doc_id IS NOT NULL AND d.doc_id % 3 < 2 THEN 'xx' ELSE d.lang END AS lang, CASE WHEN l.doc_id IS NOT NULL AND d.doc_id % 3 < 2 THEN 'right' ELSE 'left' END AS origin
 FROM documents d LEFT JOIN labels l USING (doc_id)""",

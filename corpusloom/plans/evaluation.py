@@ -71,16 +71,16 @@ def eval_unpivot_models(spark, sf_dir):
 RUNS = [1, 2, 3, 4, 5]
 
 
-def sets(spark, sf_dir):
-    return ev.entity_sets(runs(spark, sf_dir), spine(spark, sf_dir), RUNS)
+def runs_pairwise_agreement(spark, sf_dir):
+    return ev.pairwise_agreement(runs(spark, sf_dir), spine(spark, sf_dir), RUNS)
 
 
-def runs_pairwise_agreement(spark, sf_dir):
-    return ev.pairwise_agreement(sets(spark, sf_dir), RUNS)
+def runs_agreement_matrix(spark, sf_dir):
+    return ev.agreement_matrix(runs_pairwise_agreement(spark, sf_dir), RUNS, "jaccard")
 
 
 def runs_consensus(spark, sf_dir):
-    return ev.consensus(sets(spark, sf_dir), len(RUNS))
+    return ev.consensus(runs(spark, sf_dir), spine(spark, sf_dir), RUNS)
 
 
 def run_scores(spark, sf_dir, *dims):
@@ -94,11 +94,26 @@ def runs_mean_ci(spark, sf_dir):
     return ev.run_interval(run_scores(spark, sf_dir), ["precision", "recall", "f1", "macro_f1"])
 
 
-def runs_label_means(spark, sf_dir):
+def run_scores_by_label(spark, sf_dir):
     gold, _ = annotated(spark, sf_dir, ("a",))
     rows = runs(spark, sf_dir).withColumn("model", F.col("run"))
-    by = ev.roll_up(ev.cells(gold, rows, RUNS, ("lang",)), "model", "label")
-    return ev.mean_over_runs(by, ["label"], ["gold", "pred", "correct", "precision", "recall", "f1"])
+    return ev.roll_up(ev.cells(gold, rows, RUNS, ("lang",)), "model", "label").withColumnRenamed("model", "run")
+
+
+def runs_label_means(spark, sf_dir):
+    return ev.mean_over_runs(run_scores_by_label(spark, sf_dir), ["label"], ["gold", "pred", "correct", "precision", "recall", "f1"])
+
+
+def runs_label_ci(spark, sf_dir):
+    return ev.run_interval(run_scores_by_label(spark, sf_dir), ["precision", "recall", "f1"], ["label"])
+
+
+def runs_mean_confusions(spark, sf_dir):
+    """Confusions of five runs, which mistake surfaces of 6 to 5 + run letters for places."""
+    gold, _ = annotated(spark, sf_dir, ("a",))
+    n = F.length("text")
+    rows = runs(spark, sf_dir).withColumn("label", F.when(n.between(6, 5 + F.col("run")), "Place").otherwise(F.col("label")))
+    return ev.mean_confusions(ev.confusions(gold, rows.withColumn("model", F.col("run"))).withColumnRenamed("model", "run"), len(RUNS))
 
 
 def scenario_pred_threshold(spark, sf_dir):
@@ -148,7 +163,10 @@ QUERIES = {
     "eval_unpivot_models": eval_unpivot_models,
     "eval_bootstrap_ci": eval_bootstrap_ci,
     "runs_pairwise_agreement": runs_pairwise_agreement,
+    "runs_agreement_matrix": runs_agreement_matrix,
     "runs_consensus": runs_consensus,
+    "runs_label_ci": runs_label_ci,
+    "runs_mean_confusions": runs_mean_confusions,
     "runs_mean_ci": runs_mean_ci,
     "runs_label_means": runs_label_means,
     "scenario_pred_threshold": scenario_pred_threshold,
@@ -189,6 +207,14 @@ rc AS (SELECT coalesce(rg.run, rp.run) AS run, coalesce(rg.label, rp.label) AS l
        FROM rg FULL JOIN rp ON rg.run = rp.run AND rg.doc_id = rp.doc_id AND rg.txt = rp.txt AND rg.label = rp.label GROUP BY ALL)"""
 
 
+SQL_AGREEMENT = f"""WITH {SQL_RUNS}, pr AS (
+SELECT a.run AS run_a, b.run AS run_b, len(list_intersect(a.ents, b.ents)) AS s, len(a.ents) AS na, len(b.ents) AS nb
+FROM sets a JOIN sets b ON a.doc_id = b.doc_id AND a.run <= b.run)
+SELECT run_a, run_b, count(*) AS n_common_chunks, avg(CASE WHEN na + nb = 0 THEN 1.0::DOUBLE ELSE CAST(s AS DOUBLE) / (na + nb - s) END) AS jaccard,
+  avg(CASE WHEN na + nb = 0 THEN 1.0::DOUBLE ELSE 2 * CAST(s AS DOUBLE) / (na + nb) END) AS entity_f1, avg(CASE WHEN s = na AND s = nb THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS exact_match_rate
+FROM pr GROUP BY ALL"""
+
+
 def sql_cells_of(gold: str, pred: str) -> str:
     """Cells where gold and predictions are filtered first."""
     return SQL_CELLS.replace("FROM fa CROSS JOIN models", f"FROM ({gold}) fa CROSS JOIN models").replace("FROM pred GROUP BY ALL", f"FROM ({pred}) pred GROUP BY ALL")
@@ -223,12 +249,11 @@ SELECT *, CASE WHEN mean_f1 > 0 THEN std_f1 / mean_f1 ELSE 0.0::DOUBLE END AS cv
     "eval_top_labels": f"WITH {SQL_CELLS} SELECT label, CAST(sum(gold) AS BIGINT) AS gold FROM cells WHERE model = 'a' GROUP BY label ORDER BY gold DESC, label LIMIT 3",
     "eval_top_confused": f"WITH {SQL_CONFUSIONS} SELECT gold_label, CAST(sum(count) AS BIGINT) AS count FROM conf GROUP BY gold_label ORDER BY count DESC, gold_label LIMIT 10",
     "eval_unpivot_models": f"WITH {SQL_MENTIONS} SELECT doc_id AS rec, model, count(*) AS preds FROM pred WHERE model IN ('a', 'b') GROUP BY ALL",
-    "runs_pairwise_agreement": f"""WITH {SQL_RUNS}, pr AS (
-SELECT a.run AS run_a, b.run AS run_b, len(list_intersect(a.ents, b.ents)) AS s, len(a.ents) AS na, len(b.ents) AS nb
-FROM sets a JOIN sets b ON a.doc_id = b.doc_id AND a.run <= b.run)
-SELECT run_a, run_b, count(*) AS n_common_chunks, avg(CASE WHEN na + nb = 0 THEN 1.0::DOUBLE ELSE CAST(s AS DOUBLE) / (na + nb - s) END) AS jaccard,
-  avg(CASE WHEN na + nb = 0 THEN 1.0::DOUBLE ELSE 2 * CAST(s AS DOUBLE) / (na + nb) END) AS entity_f1, avg(CASE WHEN s = na AND s = nb THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS exact_match_rate
-FROM pr GROUP BY ALL""",
+    "runs_pairwise_agreement": SQL_AGREEMENT,
+    "runs_agreement_matrix": f"""WITH b AS (SELECT run_a AS run, run_b AS other, jaccard FROM ({SQL_AGREEMENT}) UNION SELECT run_b, run_a, jaccard FROM ({SQL_AGREEMENT}))
+SELECT run, """
+    + ", ".join(f"max(jaccard) FILTER (WHERE other = {r}) AS run_{r}" for r in RUNS)
+    + " FROM b GROUP BY run",
     "runs_consensus": f"""WITH {SQL_RUNS}, k AS (SELECT doc_id, count(DISTINCT ents) AS kinds, count(*) AS n FROM sets GROUP BY doc_id)
 SELECT count(*) AS n_common_chunks, avg(CASE WHEN kinds = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS consensus_rate FROM k WHERE n = 5""",
     "runs_mean_ci": f"""WITH {SQL_RUN_CELLS}, bl AS (SELECT *, {sql_prf()} FROM rc),
@@ -236,10 +261,25 @@ s AS (SELECT run, {SQL_SUMS}, avg(f1) AS macro_f1 FROM bl GROUP BY run), f AS (S
 u AS (UNPIVOT (SELECT run, precision, recall, f1, macro_f1 FROM f) ON precision, recall, f1, macro_f1 INTO NAME metric VALUE value),
 m AS (SELECT metric, avg(value) AS mean, stddev_samp(value) AS s, count(*) AS n_runs FROM u GROUP BY metric)
 SELECT metric, mean, mean - 2.776445::DOUBLE * s / sqrt(n_runs) AS ci95_low, mean + 2.776445::DOUBLE * s / sqrt(n_runs) AS ci95_high, 2.776445::DOUBLE * s / sqrt(n_runs) AS plus_minus, n_runs FROM m""",
+    "runs_label_ci": f"""WITH {SQL_RUN_CELLS}, bl AS (SELECT *, {sql_prf()} FROM rc),
+u AS (UNPIVOT (SELECT run, label, precision, recall, f1 FROM bl) ON precision, recall, f1 INTO NAME metric VALUE value),
+m AS (SELECT label, metric, avg(value) AS mean, stddev_samp(value) AS s, count(*) AS n_runs FROM u GROUP BY label, metric)
+SELECT label, metric, mean, mean - 2.776445::DOUBLE * s / sqrt(n_runs) AS ci95_low, mean + 2.776445::DOUBLE * s / sqrt(n_runs) AS ci95_high, 2.776445::DOUBLE * s / sqrt(n_runs) AS plus_minus, n_runs FROM m""",
+    "runs_mean_confusions": f"""WITH {SQL_RUNS}, seen AS (SELECT doc_id, txt, gold, count(*) AS n, min(i) AS first FROM fa GROUP BY ALL),
+main AS (SELECT doc_id, txt, gold AS gold_label FROM seen QUALIFY row_number() OVER (PARTITION BY doc_id, txt ORDER BY n DESC, first) = 1),
+p AS (SELECT run, doc_id, txt, CASE WHEN length(txt) BETWEEN 6 AND 5 + run THEN 'Place' ELSE label END AS pred_label FROM rr)
+SELECT gold_label, pred_label, CAST(count(*) AS DOUBLE) / 5 AS count FROM p JOIN main USING (doc_id, txt) WHERE pred_label <> gold_label GROUP BY ALL""",
     "runs_label_means": f"""WITH {SQL_RUN_CELLS}, bl AS (SELECT *, {sql_prf()} FROM rc)
 SELECT label, """
     + ", ".join(f"avg(CAST({c} AS DOUBLE)) AS {c}" for c in ("gold", "pred", "correct", "precision", "recall", "f1"))
     + ", count(*) AS n_runs FROM bl GROUP BY label",
+    "eval_bootstrap_ci": f"""WITH {SQL_CELLS}, pr AS (SELECT coalesce(g.doc_id, p.doc_id) AS rec, coalesce(g, 0) AS g, coalesce(p, 0) AS p
+      FROM (SELECT * FROM g WHERE model = 'a') g FULL JOIN (SELECT * FROM p WHERE model = 'a') p ON g.doc_id = p.doc_id AND g.txt = p.txt AND g.label = p.label),
+r AS (SELECT rec, CAST(sum(g) AS BIGINT) AS gold, CAST(sum(p) AS BIGINT) AS pred, CAST(sum(least(g, p)) AS BIGINT) AS correct FROM pr GROUP BY rec),
+d AS (SELECT r.*, k, CAST('0x' || substr(md5(concat_ws('|', 42, rec, k)), 1, 10) AS BIGINT)::DOUBLE / 1099511627776 AS u FROM r, range(1, 201) t(k)),
+w AS (SELECT *, len(list_filter({ev.poisson_steps()}::DOUBLE[], lambda s: u >= s)) AS w FROM d),
+s AS (SELECT k, sum(gold * w) AS gold, sum(pred * w) AS pred, sum(correct * w) AS correct FROM w GROUP BY k), f AS (SELECT *, {sql_prf()} FROM s)
+SELECT avg(f1) AS mean, quantile_cont(f1, 0.025) AS ci95_low, quantile_cont(f1, 0.975) AS ci95_high, count(*) AS n_bootstrap FROM f""",
     "scenario_pred_threshold": sql_summary("model", cells=sql_cells_of("SELECT * FROM fa", "SELECT * FROM pred WHERE conf >= 0.85")),
     "scenario_gold_threshold": sql_summary(
         "model", cells=sql_cells_of("SELECT f.* FROM fa f JOIN (SELECT gold AS l, quantile_cont(conf, 0.6) AS t FROM fa GROUP BY gold) q ON f.gold = q.l AND f.conf >= q.t", "SELECT * FROM pred")

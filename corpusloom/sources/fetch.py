@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from http.client import HTTPException
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -19,7 +20,7 @@ def fetched(url: str, get: Callable[[str, dict], bytes]) -> tuple[bytes | None,
     for headers in ({}, BROWSER_HEADERS):
         try:
             return get(url, headers), False
-        except OSError:
+        except (OSError, HTTPException):  # refused, timed out, or a body cut short
             continue
     return None, True
 

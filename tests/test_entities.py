@@ -158,6 +158,44 @@ def test_alignment():
     assert align.aligned("", [at(0, 1, "x")]) == []
 
 
+def test_tokenizers_plug_in(spark):
+    align.register_tokenizer("letters", lambda text: [(i, i + 1) for i in range(len(text))])
+    df = spark.createDataFrame([(1, "ab c", [(1, 3), (1, 3), (9, 10)]), (2, None, None)], "id int, text string, spans array<struct<start:int,end:int>>")
+    got = [tuple(r) for r in align.spans_on_tokens(df, ["id"], mode="letters").collect()]
+    assert got == [(1, 1, 3, 1, 2), (1, 9, 10, None, None)]
+    with pytest.raises(ValueError):
+        align.tokenizer("none")
+
+
+def test_relation_labels_and_rule_errors():
+    assert rel.relation_labels(None)[0] == list(rel.RULES) and rel.relation_labels([" b ", "a", "b", ""], {"a": 1}) == (["b", "a"], ["b"])
+    with pytest.raises(ValueError, match="'x' allowed_head.*'x' allowed_tail.*' ' allowed_tail"):
+        rel.validated_rules({"x": {"allowed_head": "p"}, " ": {"allowed_head": ["p"], "allowed_tail": ["p"]}})
+
+
+def test_lookup_equals_trying_all_runs():
+    import random
+    import re
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    for _ in range(200):
+        text = " ".join("".join(rng.choice("abc,") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(0, 12)))
+        tokens, near = align.Tokens(text, align.tokenizer("regex")), rng.choice([None, 0, 3])
+        target = "".join(rng.choice("abc ") for _ in range(rng.randint(0, 8)))
+        k, n, best = len(re.findall(r"\w+", target)), len(tokens.words), None
+        for size in range(max(1, k - 2), k + 5) if k else range(1, 7):
+            for i in range(n - size + 1):
+                run = align.matchable(tokens.surface(i, i + size - 1))
+                if run and align.matchable(target):
+                    ratio = SequenceMatcher(None, align.matchable(target), run).ratio()
+                    score = ratio + (0 if near is None else 0.05 * (1.0 - min(abs(i - near) / n, 1.0)))
+                    if best is None or score > best[0]:
+                        best = (score, i, i + size - 1, ratio)
+        got = tokens.lookup(target, near)
+        assert (got and (got.first, got.last, got.score)) == (best and best[1:])
+
+
 def test_relation_rules(spark):
     with pytest.raises(ValueError):
         rel.validated_rules({"r": {"allowed_head": []}})

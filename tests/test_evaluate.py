@@ -74,18 +74,37 @@ def test_length_buckets(spark, n, want):
 
 
 def test_agreement(spark):
-    sets = ev.entity_sets(
-        spark.createDataFrame([(1, 1, "a", "P"), (1, 1, "b", "P"), (1, 2, "a", "P"), (2, 1, "c", "P"), (2, 2, "c", "P")], "rec int, run int, text string, label string"),
-        spark.createDataFrame([(1,), (2,), (3,)], "rec int"),
-        [1, 2],
-    )
-    got = {(r.run_a, r.run_b): r for r in ev.pairwise_agreement(sets, [1, 2]).collect()}
+    rows = spark.createDataFrame([(1, 1, "a", "P"), (1, 1, "b", "P"), (1, 2, "a", "P"), (1, 2, "a", "P"), (2, 1, "c", "P"), (2, 2, "c", "P"), (2, 9, "z", "P")], "rec int, run int, text string, label string")
+    spine = spark.createDataFrame([(1,), (2,), (3,)], "rec int")
+    got = {(r.run_a, r.run_b): r for r in ev.pairwise_agreement(rows, spine, [1, 2]).collect()}
     assert got[1, 1].jaccard == got[2, 2].entity_f1 == 1.0 and got[1, 2].n_common_chunks == 3
     assert math.isclose(got[1, 2].jaccard, (0.5 + 1 + 1) / 3) and math.isclose(got[1, 2].entity_f1, (2 / 3 + 2) / 3) and math.isclose(got[1, 2].exact_match_rate, 2 / 3)
-    c = ev.consensus(sets, 2).first()
+    m = {r.run: r for r in ev.agreement_matrix(ev.pairwise_agreement(rows, spine, [1, 2]), [1, 2], "jaccard").collect()}
+    assert m[1].run_2 == m[2].run_1 == got[1, 2].jaccard and m[1].run_1 == 1.0
+    c = ev.consensus(rows, spine, [1, 2]).first()
     assert c.n_common_chunks == 3 and math.isclose(c.consensus_rate, 2 / 3)
 
 
+def test_student_t():
+    # Published quantiles (97.5 %).
+    for freedom, want in ((1, 12.706205), (2, 4.302653), (3, 3.182446), (4, 2.776445), (9, 2.262157), (10, 2.228139), (30, 2.042272), (100, 1.983972), (1000, 1.962339)):
+        assert math.isclose(ev.student_t(freedom), want, abs_tol=2e-6), freedom
+    assert abs(ev.student_t(2001) - ev.student_t(2000)) < 1e-5
+
+
+def test_exact_percentile(spark):
+    rng = random.Random(4)
+    values = {"a": [rng.random() for _ in range(999)], "b": [rng.choice([0.5, 0.75]) for _ in range(40)], "c": [3.0], None: [rng.gauss(0, 1e6) for _ in range(50)]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [("d", None)], "k string, v double")
+    for share in (0.0, 0.6, 0.975, 1.0):
+        got = {r.k: r.t for r in ev.exact_percentile(df, ["k"], "v", share, "t").collect()}
+        for k, vs in values.items():
+            at, vs = (len(vs) - 1) * share, sorted(vs)
+            low, high = math.floor(at), math.ceil(at)
+            assert math.isclose(got[k], vs[low] if low == high else (high - at) * vs[low] + (at - low) * vs[high]), (k, share)
+        assert "d" not in got
+
+
 def test_run_interval(spark):
     values = [0.5, 0.52, 0.51, 0.49, 0.6]
     df = spark.createDataFrame(list(enumerate(values)), "run int, f1 double")
@@ -93,6 +112,9 @@ def test_run_interval(spark):
     mean = sum(values) / 5
     s = math.sqrt(sum((v - mean) ** 2 for v in values) / 4)
     assert math.isclose(r["plus_minus"], 2.776445 * s / math.sqrt(5)) and math.isclose(r["mean"], mean) and r.n_runs == 5
+    many = ev.run_interval(spark.createDataFrame([(i, i % 7 / 7) for i in range(25)], "run int, f1 double"), ["f1"]).first()
+    assert many.n_runs == 25 and many["plus_minus"] > 0
+    assert ev.run_interval(spark.createDataFrame([(1, 0.5)], "run int, f1 double"), ["f1"]).first()["plus_minus"] is None
 
 
 def test_bootstrap_is_repeatable_and_centred(spark):
