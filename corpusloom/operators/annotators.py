@@ -169,6 +169,11 @@ def timed(name: str, action: Callable[[], object]) -> dict:
     return {"name": name, "elapsed": time.monotonic() - began}
 
 
+def write_timings(spark, timings: list[dict], path: str) -> None:
+    """Timings of this run beside its output, one JSON line each; they add to those of earlier runs."""
+    spark.createDataFrame(timings, "name string, elapsed double").coalesce(1).write.mode("append").json(path)
+
+
 def seconds_by_model(timings: DataFrame, model: str = "name", seconds: str = "elapsed") -> DataFrame:
     """Seconds summed by model."""
     return timings.groupBy(model).agg(F.sum(seconds).alias(seconds))

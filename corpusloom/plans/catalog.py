@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("evaluation", "documents", "annotations")
+MODULES = ("evaluation", "documents", "annotations", "flows")
 
 
 def _modules() -> list:

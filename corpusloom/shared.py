@@ -12,19 +12,40 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's `spark.checkpoint.dir`; a temporary folder where none is set (tests)."""
+    """The cluster's `spark.checkpoint.dir`.
+
+    Where none is set, a local session (tests) gets a temporary folder; any other fails,
+    because executors could not read what is written to a folder of one machine.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="corpusloom-")
     spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
     return f"file://{folder}"
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """Where this application's written tables lie, apart from those of others."""
+    return f"{shared_dir(spark)}/corpusloom-{spark.sparkContext.applicationId}"
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all tables that this application wrote with `stash`; to be called once its results are stored."""
+    delete_folder(spark, scratch_dir(spark))
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")  # its shuffle files go once the table is written
     try:
@@ -36,8 +57,5 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 def drop_stash(df: DataFrame) -> None:
     """Deletes what `stash` wrote, once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        delete_folder(df.sparkSession, folder)

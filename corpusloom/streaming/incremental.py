@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
 from corpusloom.schemas import parse
@@ -37,3 +38,24 @@ def windowed_counts(events: DataFrame, every: str = "1 hour", late: str = "2 hou
     timed = events.withWatermark("ts", late) if events.isStreaming else events
     w = F.window("ts", every)
     return timed.groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+
+
+class Progress(StreamingQueryListener):
+    """Calls `report(query name, rows so far)` after every batch; register with `spark.streams.addListener`."""
+
+    def __init__(self, report: Callable[[str, int], None]):
+        self.report, self.rows = report, {}
+
+    def onQueryStarted(self, event):
+        self.rows[str(event.runId)] = 0
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        self.rows[str(p.runId)] = self.rows.get(str(p.runId), 0) + p.numInputRows
+        self.report(p.name or str(p.id), self.rows[str(p.runId)])
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.rows.pop(str(event.runId), None)

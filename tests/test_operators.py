@@ -1,4 +1,5 @@
 import json
+from http.client import IncompleteRead
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,13 +80,78 @@ def test_files(spark, tmp_path):
     assert pdfs.count() == 1 and files.pdf_pages(pdfs, lambda b: b.decode().split("|")).first().pages[1] == "2"
 
 
+def test_malformed_files_are_logged(spark, tmp_path):
+    (tmp_path / "pred").mkdir()
+    (tmp_path / "src").mkdir()
+    for name, text in (("a", '[{"doc_id": "1"}, 5, {"doc_id": "2"}]'), ("b", "[1] ?"), ("c", '{"doc_id": "1"}'), ("d", '[{"doc_id": "9"}]')):
+        (tmp_path / "pred" / f"{name}.json").write_text(text)
+    (tmp_path / "src" / "a.json").write_text('[{"id": "1", "t": "x"}, {"id": "1", "t": "x"}]')
+    predictions, log = files.json_files(spark, str(tmp_path / "pred"), "doc_id string")
+    name = lambda r: r.file.rpartition("/")[2]
+    assert sorted((name(r), r.reason) for r in log.collect()) == [("b.json", "not JSON"), ("c.json", "not an array")]
+    found, missing = files.paired(predictions, files.json_files(spark, str(tmp_path / "src"), "id string, t string")[0])
+    assert [(r.doc_id, r.document.t) for r in found.collect()] == [("1", "x")]
+    assert [(name(r), r.reason) for r in missing.collect()] == [("d.json", "no source file")]
+    (tmp_path / "lines").write_text('{"a": 1}\n\n{"a": 2} x\n[1]\n')
+    good, bad = files.ndjson_with_log(spark, str(tmp_path / "lines"), "a int")
+    assert [r.a for r in good.collect()] == [1] and sorted(r.line for r in bad.collect()) == ["[1]", '{"a": 2} x']
+
+
+def test_silver_standard_checks_counts(spark):
+    from corpusloom.operators.silver import silver_standard
+
+    class Short:
+        def annotate(self, texts):
+            return []
+
+    docs = spark.createDataFrame([(1, "en", ["Rome", ""]), (2, None, [])], "id int, in_language string, text array<string>")
+    links = spark.createDataFrame([("1", "Rome", "kb:1", 0.9, "0", 0)], "doc_id string, entity_text string, linked_entity string, confidence double, chunk_idx string, ord int")
+    shown = []
+
+    class Judge:
+        def annotate(self, texts):
+            return [[{"start": 0, "end": 1, "label": t, "text": "", "confidence": 1.0}] for t in texts]
+
+    model = annotators.Gazetteer({"Rome": "Place"})
+    got = {r.chunk_idx: r for r in silver_standard(docs, links, model, Judge(), "g", "j", ["ord"]).collect()}
+    assert set(got) == {0, 1} and got[0].annotator_ents[0].text == "Rome" and '["kb:1"]' in got[0].judged_ents[0].label and got[1].annotator_ents == []
+    with pytest.raises(Exception, match="gave 0 results"):
+        silver_standard(docs, links, model, Short(), "g", "j", ["ord"]).collect()
+
+
+def test_progress_and_scratch(spark, tmp_path):
+    import time
+
+    from corpusloom.shared import clear_scratch, stash
+    from corpusloom.streaming.incremental import Progress
+
+    seen = []
+    listener = Progress(lambda name, rows: seen.append(rows))
+    spark.streams.addListener(listener)
+    spark.createDataFrame([(1,), (2,)], "a int").write.json(str(tmp_path / "in"))
+    resumable(spark, str(tmp_path / "in"), "a int", lambda df: df, str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
+    for _ in range(50):
+        if seen:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(listener)
+    assert seen and seen[-1] == 2
+    annotators.write_timings(spark, [annotators.timed("m", lambda: None), {"name": "m", "elapsed": 1.5}], str(tmp_path / "t"))
+    assert annotators.seconds_by_model(files.read_ndjson(spark, str(tmp_path / "t"), "name string, elapsed double")).first().elapsed >= 1.5
+    df = stash(spark.range(3).toDF("a"), "x")
+    assert df.count() == 3
+    clear_scratch(spark)
+    with pytest.raises(Exception):
+        df.count()
+
+
 def test_fetch_tries_twice():
     seen = []
 
     def get(url, headers):
         seen.append(bool(headers))
         if url == "bad" or (url == "shy" and not headers):
-            raise OSError
+            raise OSError if headers else IncompleteRead(b"")
         return b"x"
 
     assert fetch.fetched("ok", get) == (b"x", False) and fetch.fetched("shy", get) == (b"x", False) and fetch.fetched("bad", get) == (None, True)
