@@ -1,36 +1,46 @@
 """Removal of passages that occur earlier in the corpus: the plan that both repeat removers share.
 
 1. Each document becomes anchors (see `winnow`): disjoint ranges of its windows, each with
-   the hash of the k-gram they picked and of the context that holds them all.
+   the hash of the k-gram they picked and of the context that holds them all.  They are
+   written once.
 2. K-grams that occur once drop out; their windows are unique.
 3. Occurrences with equal contexts have equal windows: all but the first lose them.
-4. First occurrences whose k-gram has several contexts remain.  Groups of up to `GROUP`
-   contexts go to tasks by k-gram and a resolver finds their equal windows; the windows of
-   larger groups are dealt out by their own content and counted, so that no common line
+4. First occurrences whose k-gram has several contexts remain.  They go to tasks by k-gram,
+   where a resolver finds their equal windows.
+5. A group of more than `GROUP` contexts is split into sub-shards first: windows that reach
+   far to the left of the k-gram go by what lies left of it, the others by what lies right
+   of it.  Equal windows reach equally far, so they stay together; each sub-shard has a
+   longer k-gram, contexts cut to fewer windows and goes through 3 and 4 again.  After at most
+   log2(size) such steps a context is one window.  `GROUP` changes no result, only how much
    meets in one task.
-5. Removed ranges gather by document and are cut out.
+6. Removed ranges gather by document and are cut out.
 
-All of it is exact up to collisions of 128-bit hashes.
+No step gathers a k-gram's occurrences in one task: counts and minima are combined before
+they are shuffled and written, and joins with written tables can be split where they are skewed.
+
+Equality is that of two hashes of 64 bits together, of the k-gram and of the context; the
+resolver compares symbols.  Words are told apart by 64 bits before that; two different words
+of one code matter only inside windows that are otherwise equal.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.winnow import BYTE_CODES, MAX_SYMBOLS, RollingHash, anchors, mix
+from corpusloom.llm.winnow import BYTE_CODES, MAX_SYMBOLS, anchors, mix
 from corpusloom.shared import drop_stash, stash
 
 GROUP = 1500
-BLOCK = 8
 BATCH_BYTES = 1 << 18
 CUT = 1 << 16  # symbols of one call of anchors(), so that its arrays stay in cache
+CONTEXT = "_gram long, _key {key}, _at long, _k int, _start long, _last long, _text binary, _shifts array<bigint>"
 
 
 class Bytes:
@@ -50,6 +60,15 @@ class Bytes:
     def slice(units: np.ndarray, start: int, end: int) -> bytes:
         return units[start:end].tobytes()
 
+    @staticmethod
+    def apart(piece: bytes) -> bytes:
+        """A slice's units, to be sliced again by `again`."""
+        return piece
+
+    @staticmethod
+    def again(units: bytes, start: int, end: int) -> bytes:
+        return units[start:end]
+
 
 class WordCodes(dict):
     """64-bit codes of words, remembered up to a bound."""
@@ -57,8 +76,6 @@ class WordCodes(dict):
     BOUND = 200_000
 
     def __missing__(self, word: bytes) -> int:
-        import xxhash
-
         if len(self) >= self.BOUND:
             self.clear()
         code = self[word] = xxhash.xxh64_intdigest(word, 7)
@@ -83,6 +100,12 @@ class Words:
     def slice(units: list[bytes], start: int, end: int) -> bytes:
         return b" ".join(units[start:end])
 
+    @staticmethod
+    def apart(piece: bytes) -> list[bytes]:
+        return piece.split(b" ")
+
+    again = slice
+
 
 def document_anchors(codes: np.ndarray, size: int, k: int):
     """Anchors of one document of any length: pieces overlap so that contexts stay whole."""
@@ -146,78 +169,86 @@ def unpacked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, at - ((packed >> 16) & 65535), at - (packed & 65535)
 
 
-def context_batches(batches: Iterator[pa.RecordBatch], units: type, size: int) -> Iterator[pa.RecordBatch]:
-    """Documents with their open anchors -> a row for each context, or for each block of a large group's windows.
+def context_columns(batch: pa.RecordBatch, rows: list[int], key_at: int, columns: list[list]) -> list[pa.Array]:
+    """Arrays of CONTEXT (`_at` to `_shifts` after the first, `_gram`) with keys taken from `batch`."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+    gram, *rest = [pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)]
+    return [gram, batch.column(key_at).take(pa.array(rows, pa.int64())), *rest]
 
-    In: `_key, _bytes, _open` (list of structs `_at, _gram, _large`).
-    Out: `_gram, _key, _start, _last, _block, _core, _text` (first and last window start); `_block` hashes a
-    block's text and `_core` what all windows at its place hold, both null for a context.  Blocks are aligned to the k-gram, so equal windows lie at the same place of their blocks.
-    """
-    for batch in batches:
-        rows, grams, starts, lasts, hashes, cores, texts, weight = [], [], [], [], [], [], [], 0
 
-        def flush():
-            numbers = [pa.array(x, pa.int64()) for x in (starts, lasts, hashes, cores)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(grams, pa.int64()), batch.column(0).take(pa.array(rows, pa.int64())), *numbers, pa.array(texts, pa.binary())],
-                names=["_gram", "_key", "_start", "_last", "_block", "_core", "_text"],
-            )
+CONTEXT_NAMES = ["_gram", "_key", "_at", "_k", "_start", "_last", "_text", "_shifts"]
 
+
+def context_batches(batches: Iterator[pa.RecordBatch], units: type, size: int, k: int, within: bool) -> Iterator[pa.RecordBatch]:
+    """Documents with their open anchors, `_key, _bytes, _open` (list of structs `_at, _gram`) -> a row for each context.
+
+    `_at, _k` say where the k-gram lies, `_start, _last` are the first and last window start.
+    Unless an earlier start `within` the document counts, texts that it repeats are one row;
+    `_shifts` says how far on the others lie.
+    """
+    for batch in batches:
+        rows, columns, weight = [], [[] for _ in range(7)], 0
         for i in range(batch.num_rows):
             listed = batch.column(2)[i].values
             if listed is None or not len(listed):
                 continue
             parts = units.split(batch.column(1)[i].as_py())
             packed, gram = (listed.field(j).to_numpy(zero_copy_only=False) for j in (0, 1))
-            large = listed.field(2).to_numpy(zero_copy_only=False).astype(bool)
-            at, first, last = unpacked(packed)
-            rolling = RollingHash(units.codes(parts)) if large.any() else None
-            for j in range(len(packed)):
-                lo, hi = int(first[j]), int(last[j])
-                if large[j]:
-                    inner = np.arange(lo + 1, hi + 1)
-                    begin = np.concatenate([[lo], inner[(inner - at[j]) % BLOCK == 0]])
-                    end = np.concatenate([begin[1:], [hi + 1]]) + size - 1
-                    hashes += rolling.slices(begin, end).view(np.int64).tolist()
-                    aligned = at[j] + (begin - at[j]) // BLOCK * BLOCK
-                    cores += rolling.slices(aligned + BLOCK - 1, aligned + size).view(np.int64).tolist()
-                else:
-                    begin, end = [lo], [hi + size]
-                    hashes.append(None)
-                    cores.append(None)
-                rows += [i] * len(begin)
-                grams += [int(gram[j])] * len(begin)
-                starts += [int(x) for x in begin]
-                lasts += [int(y) - size for y in end]
-                cut = [units.slice(parts, int(x), int(y)) for x, y in zip(begin, end, strict=True)]
-                texts += cut
-                weight += sum(map(len, cut))
+            known: dict[tuple, tuple[int, list[int]]] = {}
+            for at, first, last, g in sorted(zip(*(x.tolist() for x in (*unpacked(packed), gram)), strict=True)):
+                text = units.slice(parts, first, last + size)
+                base, shifts = (first, []) if within else known.setdefault((g, at - first, text), (first, []))
+                if base != first:
+                    shifts.append(first - base)
+                    continue
+                rows.append(i)
+                for column, value in zip(columns, (g, at, k, first, last, text, shifts), strict=True):
+                    column.append(value)
+                weight += len(text)
             if weight > 8 << 20:
-                yield flush()
-                rows, grams, starts, lasts, hashes, cores, texts, weight = [], [], [], [], [], [], [], 0
+                yield pa.RecordBatch.from_arrays(context_columns(batch, rows, 0, columns), names=CONTEXT_NAMES)
+                rows, columns, weight = [], [[] for _ in range(7)], 0
         if rows:
-            yield flush()
+            yield pa.RecordBatch.from_arrays(context_columns(batch, rows, 0, columns), names=CONTEXT_NAMES)
+
 
+def sub_shards(at: int, k: int, start: int, last: int, size: int) -> Iterator[tuple[int, int, int, int]]:
+    """(at, k, start, last) of the two parts of a context: windows that reach at least `half` symbols left of the k-gram, and the others."""
+    room = size - k
+    half = (room + 1) // 2
+    for at_, k_, a, b in ((at - half, k + half, start, min(last, at - half)), (at, k + room - half + 1, max(start, at - half + 1), last)):
+        if a <= b:
+            yield at_, k_, a, b
 
-def window_batches(batches: Iterator[pa.RecordBatch], units: type, size: int) -> Iterator[pa.RecordBatch]:
-    """Blocks `_gram, _key, _start, _text` -> their windows `_gram, _key, _start, _window`."""
+
+def split_batches(batches: Iterator[pa.RecordBatch], units: type, size: int) -> Iterator[pa.RecordBatch]:
+    """Contexts of large groups -> their parts, with the hash of each part's longer k-gram and `_context`."""
     for batch in batches:
-        rows, starts, hashes = [], [], []
-        for i, (start, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-            codes = units.codes(units.split(text))
-            at = np.arange(len(codes) - size + 1)
-            rows.append(np.full(len(at), i))
-            starts.append(start + at)
-            hashes.append(RollingHash(codes).slices(at, at + size).view(np.int64))
-        if rows:
-            take = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(starts)), pa.array(np.concatenate(hashes))], names=["_gram", "_key", "_start", "_window"]
-            )
+        for lo in range(0, batch.num_rows, 4096):
+            part = batch.slice(lo, 4096)
+            rows, contexts, columns = [], [], [[] for _ in range(7)]
+            lists = [part.column(j).to_pylist() for j in (0, 2, 3, 4, 5, 6, 7)]
+            for i, (gram, at, k, start, last, text, shifts) in enumerate(zip(*lists, strict=True)):
+                if k >= size:
+                    continue  # one window: all that are equal are settled
+                symbols = units.apart(text)
+                for at_, k_, a, b in sub_shards(at, k, start, last, size):
+                    inner = units.again(symbols, at_ - start, at_ - start + k_)
+                    cut = units.again(symbols, a - start, b - start + size)
+                    side = b"%d %d " % (gram, at_ < at)
+                    rows.append(i)
+                    contexts.append(signed(xxhash.xxh3_64_intdigest(b"%d %d " % (at_ - a, b - a) + cut)))
+                    for column, value in zip(columns, (signed(xxhash.xxh3_64_intdigest(side + inner)), at_, k_, a, b, cut, shifts), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([*context_columns(part, rows, 1, columns), pa.array(contexts, pa.int64())], names=[*CONTEXT_NAMES, "_context"])
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
 
 
 def resolved_batches(batches: Iterator[pa.RecordBatch], resolve: Callable, size: int) -> Iterator[pa.RecordBatch]:
-    """Contexts in order of k-gram and document -> removed ranges `_key, _start, _end`.
+    """`_gram, _key, _start, _doc, _text, _shifts` in order of k-gram, document and start -> removed ranges `_key, _start, _end, _shifts`.
 
     `resolve(texts, group, doc)` says for each context which of its windows are repeats.
     """
@@ -235,8 +266,8 @@ def resolved_batches(batches: Iterator[pa.RecordBatch], resolve: Callable, size:
                 rows.append(i)
                 start.append(base[i] + a)
                 end.append(base[i] + b - 1 + size)
-        keys = table["_key"].combine_chunks().take(pa.array(rows, pa.int64()))
-        return pa.RecordBatch.from_arrays([keys, pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["_key", "_start", "_end"])
+        keys, shifts = (table[c].combine_chunks().take(pa.array(rows, pa.int64())) for c in ("_key", "_shifts"))
+        return pa.RecordBatch.from_arrays([keys, pa.array(start, pa.int64()), pa.array(end, pa.int64()), shifts], names=["_key", "_start", "_end", "_shifts"])
 
     held: list[pa.RecordBatch] = []
     weight = 0
@@ -286,12 +317,6 @@ def cut_batches(batches: Iterator[pa.RecordBatch], units: type) -> Iterator[pa.R
             )
 
 
-def release(spark) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> tuple[DataFrame, bool]:
     """`_key, _bytes, _carry` for each document, and whether ids are unique and not null.
 
@@ -306,70 +331,60 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> tupl
     return plain.select(key.alias("_key"), "_bytes", "_carry"), False
 
 
+def first_of_equals(rows: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Splits `rows` by `_gram, _context`: (later ones of equals, first ones whose k-gram has several contexts, with `_n` rows of that k-gram).
+
+    Rows that agree in `order` with the first are first as well.
+    """
+    place = F.struct(*order)
+    firsts = stash(rows.select(F.col("_gram").alias("_g"), F.col("_context").alias("_c"), place.alias("_place")).groupBy("_g", "_c").agg(F.min("_place").alias("_first")), "repeats-firsts")
+    told = rows.join(firsts, (F.col("_gram") == F.col("_g")) & (F.col("_context") == F.col("_c")))
+    told = stash(told.select(*rows.columns, (place > F.col("_first")).alias("_later")), "repeats-told")
+    drop_stash(firsts)
+    new = told.filter("not _later").drop("_later")
+    kinds = new.groupBy(F.col("_gram").alias("_g")).agg(F.count(F.lit(1)).alias("_n"), F.min("_context").alias("_a"), F.max("_context").alias("_b")).filter("_a <> _b")
+    kinds = stash(kinds.select("_g", "_n"), "repeats-kinds")
+    return told.filter("_later").drop("_later"), new.join(kinds, F.col("_gram") == F.col("_g")).drop("_g", "_context")
+
+
 def removed_ranges(rows: DataFrame, units: type, size: int, k: int, resolve: Callable, within: bool) -> DataFrame:
     """Ranges `_key, _start, _end` of units that lie in a window seen earlier.
 
     `within`: whether an earlier start in the same document counts as earlier.
     """
-    spark = rows.sparkSession
     key = rows.schema["_key"].dataType.simpleString()
-    found = rows.mapInArrow(lambda it: anchor_batches(it, units, size, k), f"_key {key}, _at long, _gram long, _context long")
-    often = found.groupBy("_gram").count().filter("count > 1").select(F.col("_gram").alias("_g"))
+    found = stash(rows.mapInArrow(lambda it: anchor_batches(it, units, size, k), f"_key {key}, _at long, _gram long, _context long"), "repeats-anchors")
+    often = stash(found.groupBy("_gram").count().filter("count > 1").select(F.col("_gram").alias("_g")), "repeats-often")
     seen = stash(found.join(often, F.col("_gram") == F.col("_g"), "left_semi"), "repeats-seen")
-    del found, often
-    release(spark)
-
-    place = F.struct("_key", "_at") if within else F.struct("_key")
-    one = F.xxhash64("_gram", "_context").alias("_one")  # a key of its own, so that no shuffle by k-gram serves both
-    firsts = stash(seen.select("_gram", one, place.alias("_place")).groupBy("_one", "_gram").agg(F.min("_place").alias("_first")), "repeats-firsts")
-    kinds = stash(firsts.groupBy("_gram").agg(F.count(F.lit(1)).alias("_kinds")).filter("_kinds > 1").select(F.col("_gram").alias("_g"), (F.col("_kinds") > GROUP).alias("_large")), "repeats-kinds")
-    told = seen.select("_key", "_at", "_gram", one, place.alias("_place")).join(firsts.select(F.col("_one").alias("_o"), "_first"), F.col("_one") == F.col("_o"))
-    told = stash(told.select("_key", "_at", F.when(F.col("_place") == F.col("_first"), F.col("_gram")).alias("_gram")), "repeats-told")
-    drop_stash(firsts)
+    drop_stash(found)
+    drop_stash(often)
+    copies, new = first_of_equals(seen, ["_key", "_at"] if within else ["_key"])
     drop_stash(seen)
-    release(spark)
 
     at = F.shiftright("_at", 32)
-    copies = told.filter("_gram is null").select(
-        "_key", (at - F.shiftright("_at", 16).bitwiseAND(65535)).alias("_start"), (at - F.col("_at").bitwiseAND(65535) + size).alias("_end")
-    )
-    open_ = told.filter("_gram is not null").join(kinds, F.col("_gram") == F.col("_g")).groupBy(F.col("_key").alias("_k")).agg(F.collect_list(F.struct("_at", "_gram", "_large")).alias("_open"))
+    ranges = copies.select("_key", (at - F.shiftright("_at", 16).bitwiseAND(65535)).alias("_start"), (at - F.col("_at").bitwiseAND(65535) + size).alias("_end"))
+    sizes = new.select("_gram", "_n").distinct()
+    open_ = new.groupBy(F.col("_key").alias("_k")).agg(F.collect_list(F.struct("_at", "_gram")).alias("_open"))
     texts = rows.join(open_, F.col("_key") == F.col("_k")).select("_key", "_bytes", "_open")
-    contexts = texts.mapInArrow(lambda it: context_batches(it, units, size), f"_gram long, _key {key}, _start long, _last long, _block long, _core long, _text binary")
-    contexts = stash(contexts, "repeats-contexts")
-    release(spark)
-
-    small = contexts.filter("_block is null").withColumn("_doc", F.xxhash64("_key"))
-    small = small.select("_gram", "_key", "_start", "_doc", "_text").repartition(F.col("_gram")).sortWithinPartitions("_gram", "_key", "_start")
-    settled = small.mapInArrow(lambda it: resolved_batches(it, resolve, size), f"_key {key}, _start long, _end long")
-
-    # Large groups: equal blocks go together first, then the windows of blocks seen for the first
-    # time, where another one has the same core; without that no window can be equal.
-    place = F.struct("_key", "_start") if within else F.struct("_key")
-    blocks = contexts.filter("_block is not null").withColumn("_place", place)
-    many = joined_to_first(blocks, "_block").select("_gram", "_key", "_start", "_core", "_text", (F.col("_place") > F.col("_first")).alias("_later"), (F.col("_last") + size).alias("_end"))
-    many = stash(many, "repeats-blocks")
-    fresh = many.filter("not _later")
-    core = F.xxhash64("_core", "_gram")
-    shared = stash(fresh.groupBy(core.alias("_c")).count().filter("count > 1").select("_c"), "repeats-cores")
-    fresh = fresh.join(shared, core == F.col("_c"), "left_semi").select("_gram", "_key", "_start", "_text")
-    windows = fresh.mapInArrow(lambda it: window_batches(it, units, size), f"_gram long, _key {key}, _start long, _window long").withColumn("_place", place)
-    again = joined_to_first(windows, "_window").filter(F.col("_place") > F.col("_first"))
-    return (
-        copies.union(settled)
-        .union(many.filter("_later").select("_key", "_start", "_end"))
-        .union(again.select("_key", "_start", (F.col("_start") + size).alias("_end")))
-    )
-
-
-def joined_to_first(rows: DataFrame, column: str) -> DataFrame:
-    """`rows` with `_first`, the least `_place` of those that share `column` and k-gram.
-
-    Grouped minima are written, then joined as a plain table, so a hot value's rows can be split.
-    """
-    same = F.xxhash64(column, "_gram")
-    least = rows.groupBy(same.alias("_same"), F.col("_gram").alias("_g")).agg(F.min("_place").alias("_first"))
-    return rows.join(stash(least, "repeats-least"), (same == F.col("_same")) & (F.col("_gram") == F.col("_g")))
+    contexts = texts.mapInArrow(lambda it: context_batches(it, units, size, k, within), CONTEXT.format(key=key))
+    many = stash(sizes.filter(F.col("_n") > GROUP).select(F.col("_gram").alias("_g")), "repeats-large")  # at most a GROUPth of the contexts
+    contexts = stash(contexts.join(many, F.col("_gram") == F.col("_g"), "left").withColumn("_large", F.col("_g").isNotNull()).drop("_g"), "repeats-contexts")
+
+    shifted = F.explode(F.concat(F.array(F.lit(0).cast("long")), "_shifts")).alias("_by")
+    moved = lambda df: df.select("_key", "_start", "_end", shifted).select("_key", (F.col("_start") + F.col("_by")).alias("_start"), (F.col("_end") + F.col("_by")).alias("_end"))
+    while True:
+        small = contexts.filter("not _large").withColumn("_doc", F.xxhash64("_key"))
+        small = small.select("_gram", "_key", "_start", "_doc", "_text", "_shifts").repartition(F.col("_gram")).sortWithinPartitions("_gram", "_key", "_start")
+        settled = small.mapInArrow(lambda it: resolved_batches(it, resolve, size), f"_key {key}, _start long, _end long, _shifts array<bigint>")
+        ranges = ranges.union(moved(settled))
+        large = contexts.filter("_large").drop("_large")
+        if large.isEmpty():
+            return ranges
+        parts = stash(large.mapInArrow(lambda it: split_batches(it, units, size), CONTEXT.format(key=key) + ", _context long"), "repeats-parts")
+        copies, new = first_of_equals(parts, ["_key", "_start"] if within else ["_key"])
+        drop_stash(parts)
+        ranges = ranges.union(moved(copies.withColumn("_end", F.col("_last") + size)))
+        contexts = stash(new.withColumn("_large", F.col("_n") > GROUP).drop("_n"), "repeats-contexts")
 
 
 def without_repeats(docs: DataFrame, id_col: str, text_col: str, units: type, size: int, k: int, resolve: Callable, within: bool, carry: list[str] | None = None) -> DataFrame:

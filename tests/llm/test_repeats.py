@@ -59,7 +59,7 @@ def corpus(seed, n=60):
     return docs
 
 
-@pytest.mark.parametrize("group", [400, 1])
+@pytest.mark.parametrize("group", [400, 5, 1])
 def test_suffix_dedup_equals_brute_force(spark, group, monkeypatch):
     monkeypatch.setattr(repeats, "GROUP", group)
     docs = corpus(group)
@@ -68,7 +68,7 @@ def test_suffix_dedup_equals_brute_force(spark, group, monkeypatch):
     assert got == brute_bytes(docs, 60)
 
 
-@pytest.mark.parametrize("group", [400, 1])
+@pytest.mark.parametrize("group", [400, 5, 1])
 def test_automaton_dedup_equals_brute_force(spark, group, monkeypatch):
     monkeypatch.setattr(repeats, "GROUP", group)
     docs = corpus(group + 5)
@@ -134,3 +134,34 @@ def test_long_windows_are_packed_whole():
     got = unpacked(np.concatenate([b.column(1).to_numpy() for b in anchor_batches(iter([batch]), Words, 512, 24)]))
     assert (want.at - want.first).max() > 255
     assert all((g == w).all() for g, w in zip(got, (want.at, want.first, want.last)))
+
+
+def test_wide_windows_and_hot_passages(spark, monkeypatch):
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    common, long = prose(30), prose(160)
+    docs = {i: f"{prose(rng.randint(0, 40))} {common if i % 2 else long} {prose(rng.randint(0, 40))}" for i in range(60)}
+    docs[99] = " ".join([common] * 12)  # one document repeats what others have
+    docs[98] = " ".join([long + prose(3)] * 3)
+    df = spark.createDataFrame([(k, v, "x", None) for k, v in docs.items()], SCHEMA).repartition(4)
+    for group in (1500, 3):
+        monkeypatch.setattr(repeats, "GROUP", group)
+        wide = {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept)) for r in suffix_dedup(df, size=400).collect()}
+        assert wide == brute_bytes(docs, 400) and sum(x[1] for x in wide.values()) > 10_000
+        got = {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept)) for r in suffix_dedup(df).collect()}
+        assert got == brute_bytes(docs, 100)
+        words = {r.doc_id: (r.n_words, r.n_removed, bytes(r.kept)) for r in automaton_dedup(df, size=25, k=6).collect()}
+        assert words == brute_words(docs, 25)
+
+
+def test_parts_of_a_context_hold_each_window_once():
+    for size, k in ((10, 3), (10, 4), (7, 6), (50, 16), (100, 24)):
+        for at, start, last in ((200, 200 + k - size, 200), (200, 199, 200), (200, 200 + k - size, 200 + k - size)):
+            level = [(at, k, max(start, at + k - size), last)]
+            want = list(range(level[0][2], last + 1))
+            while level and level[0][1] < size:
+                level = [p for a in level for p in (repeats.sub_shards(*a, size) if a[1] < size else [a])]
+                assert sorted(s for _, _, a, b in level for s in range(a, b + 1)) == want
+                assert all(a <= g and g + n <= a + size and b <= g and g + n <= b + size for g, n, a, b in level)
+            assert all(n <= size for _, n, _, _ in level)
