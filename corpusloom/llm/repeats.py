@@ -331,8 +331,8 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> tupl
     return plain.select(key.alias("_key"), "_bytes", "_carry"), False
 
 
-def first_of_equals(rows: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Splits `rows` by `_gram, _context`: (later ones of equals, first ones whose k-gram has several contexts, with `_n` rows of that k-gram).
+def first_of_equals(rows: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Splits `rows` by `_gram, _context`: (later ones of equals, first ones whose k-gram has several contexts, those k-grams `_g` with `_n` such rows).
 
     Rows that agree in `order` with the first are first as well.
     """
@@ -344,7 +344,7 @@ def first_of_equals(rows: DataFrame, order: list[str]) -> tuple[DataFrame, DataF
     new = told.filter("not _later").drop("_later")
     kinds = new.groupBy(F.col("_gram").alias("_g")).agg(F.count(F.lit(1)).alias("_n"), F.min("_context").alias("_a"), F.max("_context").alias("_b")).filter("_a <> _b")
     kinds = stash(kinds.select("_g", "_n"), "repeats-kinds")
-    return told.filter("_later").drop("_later"), new.join(kinds, F.col("_gram") == F.col("_g")).drop("_g", "_context")
+    return told.filter("_later").drop("_later"), new.join(kinds, F.col("_gram") == F.col("_g")).drop("_g", "_context"), kinds
 
 
 def removed_ranges(rows: DataFrame, units: type, size: int, k: int, resolve: Callable, within: bool) -> DataFrame:
@@ -358,16 +358,15 @@ def removed_ranges(rows: DataFrame, units: type, size: int, k: int, resolve: Cal
     seen = stash(found.join(often, F.col("_gram") == F.col("_g"), "left_semi"), "repeats-seen")
     drop_stash(found)
     drop_stash(often)
-    copies, new = first_of_equals(seen, ["_key", "_at"] if within else ["_key"])
+    copies, new, kinds = first_of_equals(seen, ["_key", "_at"] if within else ["_key"])
     drop_stash(seen)
 
     at = F.shiftright("_at", 32)
     ranges = copies.select("_key", (at - F.shiftright("_at", 16).bitwiseAND(65535)).alias("_start"), (at - F.col("_at").bitwiseAND(65535) + size).alias("_end"))
-    sizes = new.select("_gram", "_n").distinct()
     open_ = new.groupBy(F.col("_key").alias("_k")).agg(F.collect_list(F.struct("_at", "_gram")).alias("_open"))
     texts = rows.join(open_, F.col("_key") == F.col("_k")).select("_key", "_bytes", "_open")
     contexts = texts.mapInArrow(lambda it: context_batches(it, units, size, k, within), CONTEXT.format(key=key))
-    many = stash(sizes.filter(F.col("_n") > GROUP).select(F.col("_gram").alias("_g")), "repeats-large")  # at most a GROUPth of the contexts
+    many = kinds.filter(F.col("_n") > GROUP).select("_g")  # at most a GROUPth of the contexts
     contexts = stash(contexts.join(many, F.col("_gram") == F.col("_g"), "left").withColumn("_large", F.col("_g").isNotNull()).drop("_g"), "repeats-contexts")
 
     shifted = F.explode(F.concat(F.array(F.lit(0).cast("long")), "_shifts")).alias("_by")
@@ -381,7 +380,7 @@ def removed_ranges(rows: DataFrame, units: type, size: int, k: int, resolve: Cal
         if large.isEmpty():
             return ranges
         parts = stash(large.mapInArrow(lambda it: split_batches(it, units, size), CONTEXT.format(key=key) + ", _context long"), "repeats-parts")
-        copies, new = first_of_equals(parts, ["_key", "_start"] if within else ["_key"])
+        copies, new, _ = first_of_equals(parts, ["_key", "_start"] if within else ["_key"])
         drop_stash(parts)
         ranges = ranges.union(moved(copies.withColumn("_end", F.col("_last") + size)))
         contexts = stash(new.withColumn("_large", F.col("_n") > GROUP).drop("_n"), "repeats-contexts")
