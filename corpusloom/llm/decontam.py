@@ -21,11 +21,11 @@ from corpusloom.shared import stash
 
 SHINGLE = 5
 THRESHOLD = 0.8
-RADIUS = 15  # bits of 64; of random fingerprints 1 in 50,000 lies so near
+RADIUS = 11  # bits of 64; of random fingerprints 1 in ten million lies so near
 PARTS = 4  # 16 bits each: of two fingerprints within RADIUS some part differs in RADIUS // PARTS bits at most
 STRIDE = 3
 BLOCK_BYTES = 16_000_000
-BLOCK_ITEMS = 2_000  # bounds an index to some 130 MB
+BLOCK_ITEMS = 10_000  # bounds an index to some 70 MB
 CHUNK = 24_576  # hashes fingerprinted at a time
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
