@@ -72,16 +72,18 @@ class PrintIndex:
             value = (self.prints >> np.uint64(16 * p)).astype(np.uint16)
             near = (value[:, None] ^ _REACH[None, :]).ravel()
             first = np.concatenate([[0], np.cumsum(np.bincount(near, minlength=1 << 16))])
-            self.parts.append((first, ids[np.argsort(near, kind="stable")]))
+            self.parts.append((np.diff(first) > 0, first, ids[np.argsort(near, kind="stable")]))
 
     def near(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, fingerprint) numbers of all pairs within RADIUS bits, each once."""
         found = []
-        for p, (first, ids) in enumerate(self.parts):
+        for p, (listed_at_all, first, ids) in enumerate(self.parts):
             value = (windows >> np.uint64(16 * p)).astype(np.uint16)
+            hit = np.flatnonzero(listed_at_all[value])
+            value = value[hit].astype(np.int64)
             low = first[value]
-            count = first[value.astype(np.int64) + 1] - low
-            window = np.repeat(np.arange(len(windows)), count)
+            count = first[value + 1] - low
+            window = np.repeat(hit, count)
             listed = ids[np.arange(len(window)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
             close = np.bitwise_count(windows[window] ^ self.prints[listed]) <= RADIUS
             found.append(window[close] * len(self.prints) + listed[close])
