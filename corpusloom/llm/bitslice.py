@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.shared import stash
+from corpusloom.shared import drop_stash, scratch_dir, stash
 
-SHARD_ROWS = 8192
-QUERY_BLOCK = 512
+SHARD_ROWS = 32_768
+QUERY_BYTES = 8_000_000  # of query vectors that go over the index at a time
 SCALE = 1024
 LIMIT = 1 << 63
 
@@ -127,41 +129,55 @@ class Shard:
 
 
 def shard_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """`_id, _vector` -> one row for each shard: `_dims, _ids, _low, _slices`."""
-    held: dict[int, list] = {}
+    """`_id, _vector` -> one row for each shard of vectors of one length: `_dims, _ids, _low, _slices`."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-    def flush(dims: int) -> pa.RecordBatch:
-        ids, values = held.pop(dims)[:2]
-        s = Shard.build(np.array(ids, dtype=np.int64), np.array(values, dtype=np.int64).reshape(len(ids), dims))
+    def flush(dims: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        s = Shard.build(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         return pa.RecordBatch.from_arrays(
             [pa.array([dims], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (s.ids, s.low, s.slices)]], names=["_dims", "_ids", "_low", "_slices"]
         )
 
     for batch in batches:
-        for row_id, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids, values = held.setdefault(len(vector), [[], []])
-            ids.append(row_id)
-            values.append(vector)
-            if len(ids) == SHARD_ROWS:
-                yield flush(len(vector))
+        ids, vectors = batch.column(0).to_numpy(), batch.column(1)
+        lengths = pc.list_value_length(vectors).to_numpy().astype(np.int64)
+        flat = vectors.flatten().to_numpy()
+        starts = np.cumsum(lengths) - lengths
+        for dims in np.unique(lengths).tolist():
+            rows = np.flatnonzero(lengths == dims)
+            values = flat[starts[rows][:, None] + np.arange(dims)] if dims else np.zeros((len(rows), 0), np.int64)
+            for lo in range(0, len(rows), SHARD_ROWS):
+                parts = held.setdefault(dims, [])
+                parts.append((ids[rows[lo : lo + SHARD_ROWS]], values[lo : lo + SHARD_ROWS]))
+                if sum(len(i) for i, _ in parts) >= SHARD_ROWS:
+                    yield flush(dims, held.pop(dims))
     for dims in sorted(held):
-        yield flush(dims)
+        yield flush(dims, held[dims])
 
 
 def search_batches(batches: Iterator[pa.RecordBatch], queries: list[tuple[int, list[int]]], k: int) -> Iterator[pa.RecordBatch]:
+    """Shards -> `query_id, vec_id, score`: the k best rows for each query over all shards of the task."""
+    best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    by_dims: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for q, v in queries:
+        by_dims.setdefault(len(v), []).append((q, np.array(v, dtype=np.int64)))
     for batch in batches:
         for dims, ids, low, slices in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             row_ids = np.frombuffer(ids, dtype=np.int64)
             words = -(-len(row_ids) // 64)
             packed = np.frombuffer(slices, dtype="<u8")
             shard = Shard(row_ids, np.frombuffer(low, dtype=np.int64), packed.reshape(dims, -1, words) if dims else np.zeros((0, 1, words), np.uint64))
-            found = [(q, *shard.top(q, np.array(v, dtype=np.int64), k)) for q, v in queries if len(v) == dims]
-            if found:
-                counts = [len(i) for _, i, _ in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([q for q, _, _ in found], counts).astype(np.int64)), pa.array(np.concatenate([i for _, i, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))],
-                    names=["query_id", "vec_id", "score"],
-                )
+            for q, v in by_dims.get(dims, ()):
+                found = shard.top(q, v, k)
+                if q in best:
+                    found = tuple(np.concatenate(x) for x in zip(best[q], found, strict=True))
+                    order = np.lexsort((found[0], -found[1]))[:k]
+                    found = found[0][order], found[1][order]
+                best[q] = found
+    if best:
+        counts = [len(i) for i, _ in best.values()]
+        ids, scores = (np.concatenate(x) for x in zip(*best.values(), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(list(best), counts).astype(np.int64)), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
 
 
 def top_inner_products(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -169,30 +185,32 @@ def top_inner_products(vectors: DataFrame, every: int = 100, k: int = 10, id_col
 
     Components are quantised to floor(1024 x); queries are the rows whose id `every` divides;
     candidates are all rows but those with the query's id; ties go to the smaller id.  The
-    rows become shards of bit slices, written once; queries go over all shards in blocks of
-    QUERY_BLOCK; each shard gives its k best, which a grouped limit merges.
+    rows become shards of bit slices, written once.  Queries are written, too, in blocks of about
+    QUERY_BYTES; each block goes over all shards, each task gives the k best of its shards, a
+    grouped limit merges them, and the block's result is added to the written table.  Plans
+    and what the driver holds stay the same however many queries there are.
 
     Returns `query_id, rank, vec_id, score`; fewer rows where there are fewer candidates.
     Vectors that are null or hold null or non-finite components take no part, nor do null
-    ids; components and scores of the k best beyond the long range fail the query; only vectors of equal length are compared (empty ones
-    score 0); repeated rows are candidates each, but of query rows with one id only the
-    least vector asks; an empty table gives an empty result; other columns don't take part.
+    ids; components and scores of the k best beyond the long range fail the query; only
+    vectors of equal length are compared (empty ones score 0), of any length; repeated rows
+    are candidates each, but of query rows with one id only the least vector asks; an empty
+    table gives an empty result; other columns don't take part, whatever their names.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), quantised(F.col(vector_col)).alias("_vector")).filter("_id is not null and _vector is not null")
     index = stash(rows.mapInArrow(shard_batches, "_dims int, _ids binary, _low binary, _slices binary"), "bit-slices")
-    asked = rows.filter(F.col("_id") % every == 0).groupBy("_id").agg(F.min("_vector").alias("_vector"))
-    blocks = 1 + asked.count() // QUERY_BLOCK
-    asked = stash(asked.withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")), "bit-queries")
-    best = None
+    asked = stash(rows.filter(F.col("_id") % every == 0).groupBy("_id").agg(F.min("_vector").alias("_vector")), "bit-queries")
+    size = asked.agg(F.sum(8 * F.size("_vector") + 16)).first()[0] or 0
+    blocks = 1 + size // QUERY_BYTES
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    result = f"{scratch_dir(spark)}/top-{uuid.uuid4().hex}"
     for b in range(blocks):
-        block = sorted((r["_id"], list(r["_vector"])) for r in asked.filter(F.col("_block") == b).select("_id", "_vector").collect())
-        if not block:
+        block = [(r["_id"], list(r["_vector"])) for r in asked.filter(F.pmod(F.xxhash64("_id"), F.lit(blocks)) == b).toLocalIterator()]
+        if b and not block:
             continue
         found = index.mapInArrow(lambda it, block=block: search_batches(it, block, k), "query_id long, vec_id long, score long")
-        best = found if best is None else best.union(found)
-    if best is None:
-        best = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+        ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        ranked.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(result)
+    drop_stash(index)
+    return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(result)

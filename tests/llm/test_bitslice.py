@@ -23,7 +23,7 @@ def test_shard_equals_brute_force():
 
 def test_query_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(bitslice, "SHARD_ROWS", 50)
-    monkeypatch.setattr(bitslice, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(bitslice, "QUERY_BYTES", 50)
     rng = random.Random(12)
     rows = [(i, [rng.choice([-0.5, 0.25, rng.uniform(-1, 1)]) for _ in range(4)]) for i in range(160)]
     rows += [(200, None), (300, [0.1, None, 0.2, 0.3]), (400, [math.nan, 1.0, 1.0, 1.0]), (500, [math.inf, 0.0, 0.0, 0.0]), (None, [1.0, 1.0, 1.0, 1.0]), (600, [2.0, 3.0])]
