@@ -44,6 +44,22 @@ def terms(text: str) -> list[str]:
     return TERM.findall(text.lower())
 
 
+def anchor_terms(vector: dict[str, float]) -> list[str]:
+    """Terms of which every passage that is THRESHOLD like the template holds at least one.
+
+    A cosine is at most the root of the summed squares of the template's weights over the
+    terms that both share.  So once the heaviest terms are taken out and the squares of the
+    rest stay below the square of THRESHOLD, a passage without any of those can't reach it.
+    """
+    out, rest = [], 1.0
+    for term, weight in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
+        if rest < THRESHOLD**2 - 1e-9:
+            break
+        out.append(term)
+        rest -= weight * weight
+    return out
+
+
 class Templates:
     """Templates as unit TF-IDF vectors over their terms; other terms of a passage weigh as much as the rarest."""
 
@@ -59,9 +75,16 @@ class Templates:
             self.vectors.append({t: w / norm for t, w in weights.items()})
             for t in c:
                 self.owners.setdefault(t, []).append(i)
+        self.anchors = sorted({t for v in self.vectors for t in anchor_terms(v)})
+        self.hint = re.compile(r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, sorted(self.anchors, key=len, reverse=True))) + r")(?![a-z0-9])", re.IGNORECASE)
         longest = max(sum((n * idf.get(t, rarest)) ** 2 for t, n in c.items()) for c in counts)
         self.room = 2 * longest / THRESHOLD**2  # twice the squared norm at which one whole template falls to the threshold
 
+    def may_state(self, text: str) -> bool:
+        """Whether the text holds an anchor of any template; if not, no passage of it reaches the threshold."""
+        low = text.lower()
+        return any(a in low for a in self.anchors) and self.hint.search(low) is not None
+
     def best(self, passage: str) -> tuple[str | None, float]:
         """Most similar template's license and the cosine; of equals the first."""
         return self.best_of(Counter(terms(passage)))
@@ -88,17 +111,19 @@ SENTENCE = re.compile(r"[^.;]*(?:\.(?!\s)[^.;]*)*(?:[.;]|$)")
 def passages(text: str, templates: Templates) -> Iterator[Counter[str]]:
     """Terms of all that may state a licence in a text.
 
-    Lines that speak of a licence and their sentences; and of each run of lines between
-    blank lines (the whole text if it has none) that does, the run, its sentences across
-    lines and its windows of consecutive lines.  A window ends at twice the squared norm
-    beyond which a statement made once in it stays below the threshold.
+    Lines that hold an anchor (see `anchor_terms`; others can't be alike enough) and their
+    sentences; and of each run of lines between blank lines (the whole text if it has none)
+    that holds one, the run, its sentences across lines and its windows of consecutive lines.
+    A window ends at twice the squared norm beyond which a statement made once in it stays
+    below the threshold.
     """
+    hint = templates.hint
     for run in re.split(r"\n\s*\n", text):
-        if not HINT.search(run):
+        if not hint.search(run):
             continue
         lines = run.split("\n")
         for line in lines:
-            if HINT.search(line):
+            if hint.search(line):
                 yield Counter(terms(line))
                 for sentence in SENTENCE.findall(line):
                     yield Counter(terms(sentence))
@@ -106,11 +131,11 @@ def passages(text: str, templates: Templates) -> Iterator[Counter[str]]:
             continue
         yield Counter(terms(run))
         for sentence in SENTENCE.findall(run.replace("\n", " ")):
-            if HINT.search(sentence):
+            if hint.search(sentence):
                 yield Counter(terms(sentence))
         starts = np.cumsum([0] + [len(line) + 1 for line in lines])
         need = [len(lines)] * (len(lines) + 1)  # line by which a hint that begins here or later has ended
-        for m in HINT.finditer(run):
+        for m in hint.finditer(run):
             a, b = np.searchsorted(starts, [m.start(), m.end() - 1], side="right") - 1
             need[int(a)] = min(need[int(a)], int(b))
         for i in range(len(lines) - 1, -1, -1):
@@ -127,9 +152,6 @@ def passages(text: str, templates: Templates) -> Iterator[Counter[str]]:
                     yield found
 
 
-HINT = re.compile(r"licen[cs]e|\bCC\b|CC0|permission\W+is\W+hereby|redistribution\W+and\W+use|public\W+domain|free\W+software", re.IGNORECASE)
-
-
 def scan_batches(batches: Iterator[pa.RecordBatch], templates: Templates) -> Iterator[pa.RecordBatch]:
     """`_id, _path, _text` -> `_id, _path, _license, _similarity, _words`."""
     for batch in batches:
@@ -137,7 +159,7 @@ def scan_batches(batches: Iterator[pa.RecordBatch], templates: Templates) -> Ite
         for text in batch.column(2):
             value = text.as_py() or ""
             best = (None, 0.0)
-            if HINT.search(value):
+            if templates.may_state(value):
                 for p in passages(value, templates):
                     name, score = templates.best_of(p)
                     if score > best[1]:
@@ -170,8 +192,9 @@ def scan_licenses(
 ) -> DataFrame:
     """The license of each file, from its own header or from the nearest directory above that has one.
 
-    A file's licence statements (lines, sentences, windows of lines and paragraphs that speak of a licence) are compared
-    with the templates by sparse TF-IDF cosine; document frequencies cover all files.  Files
+    A file's lines, sentences, windows of lines and paragraphs are compared with the templates
+    by sparse TF-IDF cosine, but for those that no template's weights let reach the threshold;
+    document frequencies cover all files.  Files
     whose name matches `name_pattern` and that state a license give it to their directory
     (of several, the most similar, then the smallest path).  A file without one of its own
     takes that of its nearest ancestor directory: the distinct directories are joined with
@@ -182,8 +205,9 @@ def scan_licenses(
     was inherited from).
 
     Null and empty texts state nothing; a null path inherits nothing; files at the top level
-    have directory ''; repeated rows get equal results; an empty table gives an empty
-    result; other columns don't take part.
+    have directory ''; texts of any length are read whole; of equally similar templates the
+    first counts; repeated rows get equal results; an empty table gives an empty result; other
+    columns don't take part, whatever their names.
     """
     from corpusloom.shared import stash
 

@@ -1,20 +1,16 @@
 """Query op6: licenses of all documents.
 
-Documents have no path, so one is made: source, then two levels of doc_id.  Short documents
-with a licence statement stand for licence files.
+Documents have no path, so one is made: source, then two levels of doc_id.  Documents that
+speak of a licence stand for licence files.
 """
 
 from pyspark.sql import functions as F
 
 from corpusloom.llm.licenses import scan_licenses
 
-SHORT_WORDS = 120
-
 
 def as_files(docs):
-    name = F.when(
-        (F.size(F.split(F.col("text"), r"\s+")) <= SHORT_WORDS) & F.col("text").rlike("(?i)licen[cs]e"), F.format_string("LICENSE.%d", "doc_id")
-    ).otherwise(F.format_string("%d.txt", "doc_id"))
+    name = F.when(F.col("text").rlike("(?i)licen[cs]e"), F.format_string("LICENSE.%d", "doc_id")).otherwise(F.format_string("%d.txt", "doc_id"))
     level = lambda n: F.floor(F.col("doc_id") / n).cast("string")
     path = F.when(F.col("doc_id").isNotNull(), F.concat_ws("/", F.coalesce("source", F.lit("unknown")), level(2000), level(100), name))
     return docs.select("doc_id", path.alias("path"), "text")

@@ -251,6 +251,26 @@ def test_overlong_text_costs_only_itself(spark, monkeypatch):
     assert sorted(taken) == sorted(learned) and len({lang for _, lang in taken}) == 2
 
 
+def test_anchors_leave_out_nothing():
+    """Every passage that reaches the threshold holds an anchor; cosines against all templates, without any gate."""
+    from corpusloom.llm.licenses import THRESHOLD, Templates, terms
+
+    known = sorted({t for _, text in TEMPLATES for t in terms(text)})
+    rng = random.Random(23)
+    found = 0
+    for _ in range(5):
+        idf = {t: rng.uniform(1, 9) for t in known}
+        templates = Templates(idf, max(idf.values()))
+        for _ in range(800):
+            words = terms(rng.choice(TEMPLATES)[1])
+            kept = [w for w in words if rng.random() < rng.choice([0.3, 0.6, 0.9])] + [rng.choice(known + ["zzz"]) for _ in range(rng.randint(0, 3))]
+            rng.shuffle(kept)
+            if kept and templates.best(" ".join(kept))[1] >= THRESHOLD:
+                found += 1
+                assert templates.may_state(" ".join(kept).upper())
+    assert found > 500
+
+
 def test_license_statement_beside_other_text(spark):
     texts = {
         1: ("Apache-2.0", "Copyright (c) 2021 Example Corp. Licensed under the Apache License, Version 2.0."),
