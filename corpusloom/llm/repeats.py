@@ -11,8 +11,8 @@
    far to the left of the k-gram go by what lies left of it, the others by what lies right
    of it.  Equal windows reach equally far, so they stay together; each sub-shard has a
    longer k-gram, contexts cut to fewer windows and goes through 3 and 4 again.  After at most
-   log2(size) such steps a context is one window.  `GROUP` changes no result, only how much
-   meets in one task.
+   log2(size) such steps a context is one window; HALVINGS of them come between two rounds
+   of grouping.  `GROUP` changes no result, only how much meets in one task.
 6. Removed ranges gather by document and are cut out.
 
 No step gathers a k-gram's occurrences in one task: counts and minima are combined before
@@ -38,6 +38,7 @@ from corpusloom.llm.winnow import BYTE_CODES, MAX_SYMBOLS, anchors, mix
 from corpusloom.shared import drop_stash, stash
 
 GROUP = 1500
+HALVINGS = 3  # of a context before its parts are grouped again
 BATCH_BYTES = 1 << 18
 CUT = 1 << 16  # symbols of one call of anchors(), so that its arrays stay in cache
 CONTEXT = "_gram long, _key {key}, _at long, _k int, _start long, _last long, _text binary, _shifts array<bigint>"
@@ -212,33 +213,41 @@ def context_batches(batches: Iterator[pa.RecordBatch], units: type, size: int, k
             yield pa.RecordBatch.from_arrays(context_columns(batch, rows, 0, columns), names=CONTEXT_NAMES)
 
 
-def sub_shards(at: int, k: int, start: int, last: int, size: int) -> Iterator[tuple[int, int, int, int]]:
-    """(at, k, start, last) of the two parts of a context: windows that reach at least `half` symbols left of the k-gram, and the others."""
+def sub_shards(at: int, k: int, start: int, last: int, size: int) -> Iterator[tuple[int, tuple[int, int, int, int]]]:
+    """(side, (at, k, start, last)) of the two parts of a context: windows that reach at least `half` symbols left of the k-gram, and the others."""
     room = size - k
     half = (room + 1) // 2
-    for at_, k_, a, b in ((at - half, k + half, start, min(last, at - half)), (at, k + room - half + 1, max(start, at - half + 1), last)):
-        if a <= b:
-            yield at_, k_, a, b
+    parts = ((at - half, k + half, start, min(last, at - half)), (at, k + room - half + 1, max(start, at - half + 1), last))
+    for side, part in enumerate(parts):
+        if part[2] <= part[3]:
+            yield side, part
+
+
+def small_shards(at: int, k: int, start: int, last: int, size: int) -> Iterator[tuple[str, int, int, int, int]]:
+    """Parts of a context after HALVINGS steps of `sub_shards`, each with the sides it took."""
+    level = [("", at, k, start, last)]
+    for _ in range(HALVINGS):
+        level = [(side + "lr"[i], *p) for side, *part in level for i, p in (sub_shards(*part, size) if part[1] < size else [(0, part)])]
+    yield from level
 
 
 def split_batches(batches: Iterator[pa.RecordBatch], units: type, size: int) -> Iterator[pa.RecordBatch]:
     """Contexts of large groups -> their parts, with the hash of each part's longer k-gram and `_context`."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 4096):
-            part = batch.slice(lo, 4096)
+        for lo in range(0, batch.num_rows, 1024):
+            part = batch.slice(lo, 1024)
             rows, contexts, columns = [], [], [[] for _ in range(7)]
             lists = [part.column(j).to_pylist() for j in (0, 2, 3, 4, 5, 6, 7)]
             for i, (gram, at, k, start, last, text, shifts) in enumerate(zip(*lists, strict=True)):
                 if k >= size:
                     continue  # one window: all that are equal are settled
                 symbols = units.apart(text)
-                for at_, k_, a, b in sub_shards(at, k, start, last, size):
+                for side, at_, k_, a, b in small_shards(at, k, start, last, size):
                     inner = units.again(symbols, at_ - start, at_ - start + k_)
                     cut = units.again(symbols, a - start, b - start + size)
-                    side = b"%d %d " % (gram, at_ < at)
                     rows.append(i)
                     contexts.append(signed(xxhash.xxh3_64_intdigest(b"%d %d " % (at_ - a, b - a) + cut)))
-                    for column, value in zip(columns, (signed(xxhash.xxh3_64_intdigest(side + inner)), at_, k_, a, b, cut, shifts), strict=True):
+                    for column, value in zip(columns, (signed(xxhash.xxh3_64_intdigest(b"%d %s " % (gram, side.encode()) + inner)), at_, k_, a, b, cut, shifts), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([*context_columns(part, rows, 1, columns), pa.array(contexts, pa.int64())], names=[*CONTEXT_NAMES, "_context"])
 

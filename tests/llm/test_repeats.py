@@ -157,11 +157,13 @@ def test_wide_windows_and_hot_passages(spark, monkeypatch):
 
 def test_parts_of_a_context_hold_each_window_once():
     for size, k in ((10, 3), (10, 4), (7, 6), (50, 16), (100, 24)):
-        for at, start, last in ((200, 200 + k - size, 200), (200, 199, 200), (200, 200 + k - size, 200 + k - size)):
+        for at, start, last in ((200, 200 + k - size, 200), (200, max(199, 200 + k - size), 200), (200, 200 + k - size, 200 + k - size)):
             level = [(at, k, max(start, at + k - size), last)]
             want = list(range(level[0][2], last + 1))
             while level and level[0][1] < size:
-                level = [p for a in level for p in (repeats.sub_shards(*a, size) if a[1] < size else [a])]
+                level = [p for a in level for _, p in (repeats.sub_shards(*a, size) if a[1] < size else [(0, a)])]
                 assert sorted(s for _, _, a, b in level for s in range(a, b + 1)) == want
                 assert all(a <= g and g + n <= a + size and b <= g and g + n <= b + size for g, n, a, b in level)
             assert all(n <= size for _, n, _, _ in level)
+            parts = list(repeats.small_shards(at, k, start, last, size))
+            assert len({p[0] for p in parts}) == len(parts) and sorted(s for *_, a, b in parts for s in range(a, b + 1)) == list(range(start, last + 1))
