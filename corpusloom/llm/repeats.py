@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from corpusloom.llm.winnow import BYTE_CODES, MAX_SYMBOLS, anchors, mix
 from corpusloom.shared import drop_stash, stash
 
-GROUP = 1500
+GROUP = 500
 HALVINGS = 3  # of a context before its parts are grouped again
 BATCH_BYTES = 1 << 18
 CUT = 1 << 16  # symbols of one call of anchors(), so that its arrays stay in cache
