@@ -94,7 +94,9 @@ def automaton_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and `kept` (words left, joined by one space).  Null text has no words; null ids come
     after all others, rows equal in id and text count as one document, each with its
     result; of one id, texts are ordered by hash and later ones lose what earlier ones
-    have.  An empty table gives an empty result; other columns don't take part.
+    have.  Texts of any length are
+    read whole, in overlapping pieces; an empty table gives an empty result; other columns don't take part, whatever
+    their names.
     """
     done = without_repeats(docs, id_col, text_col, Words, size, k, automaton_repeats(size), within=False)
     return done.select(id_of(done, id_col), F.col("_n").alias("n_words"), F.col("_removed").alias("n_removed"), F.col("_spans").alias("spans"), F.col("_kept").alias("kept"))

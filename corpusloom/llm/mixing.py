@@ -126,8 +126,9 @@ def taken_words(
 
     Null text has size 0; a null source is a source of its own, last in order; null
     keys and repeated rows share a hash and are taken together, up to the nearer
-    side of the budget; an empty table gives an empty result.  `most` bounds the
-    copies of a document.  Other columns of the input don't take part.
+    side of the budget; texts of any length are counted whole; sources of one name are one
+    source; an empty table gives an empty result.  `most` bounds the
+    copies of a document.  Other columns of the input don't take part, whatever their names.
     """
     rows = stash(sized(docs, key, source, text), "mix-rows")
     plan = mix_plan(rows, weights, share, most).withColumnRenamed("_source", "_s")
@@ -141,9 +142,18 @@ def taken_words(
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, most: int = 3) -> DataFrame:
-    """The documents of the mix, once each, with `copies` (1 or more) and `taken` (words); see `taken_words`."""
+    """The documents of the mix, once each, with `copies` (1 or more) and `taken` (words); see `taken_words`.
+
+    All columns of `docs` stay; where one has such a name, the new one gets an underscore more.
+    """
     rows = stash(sized(docs, key, source, text), "mix-rows")
     plan = mix_plan(rows, weights, share, most).withColumnRenamed("_source", "_s")
-    wide = docs.select(F.struct(*docs.columns).alias("_doc"), key, source, text)
-    picks = sized(wide, key, source, text, "_doc").join(plan, same("_source", "_s")).withColumn("_n", copies(most)).filter("_n > 0")
-    return picks.select("_doc.*", F.col("_n").alias("_copies_"), (F.col("_size") * F.col("_n")).alias("_taken_")).withColumnsRenamed({"_copies_": "copies", "_taken_": "taken"})
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(key).alias("_k"), F.col(source).alias("_from"), F.col(text).alias("_t"))
+    picks = sized(wide, "_k", "_from", "_t", "_doc").join(plan, same("_source", "_s")).withColumn("_n", copies(most)).filter("_n > 0")
+    added = {"copies": F.col("_n"), "taken": F.col("_size") * F.col("_n")}
+    names = []
+    for name in added:
+        while name in docs.columns:
+            name += "_"
+        names.append(name)
+    return picks.select("_doc.*", *[c.alias(n) for n, c in zip(names, added.values(), strict=True)])

@@ -150,7 +150,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns one row for each row of `docs`: `id_col, fingerprint` (16 hexadecimal digits),
     `component_id` (smallest id reachable).  Null and empty texts have fingerprint zero and
     link like any other; null ids don't name a component unless it has no other; repeated
-    rows get equal results; an empty table gives an empty result; other columns don't take part.
+    rows get equal results; texts of any length are read whole; an empty table gives an empty
+    result; other columns don't take part, whatever their names.
     """
     prints = stash(fingerprints(docs, id_col, text_col, n), "prints")
     distinct = prints.groupBy("_fp").agg(F.min("_id").alias("_least"))

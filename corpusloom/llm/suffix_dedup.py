@@ -45,8 +45,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null text counts as empty; texts under `size` bytes keep all; null ids come after all
     others, rows equal in id and text count as one document, each with its result; of one
-    id, texts are ordered by hash.  An empty table gives an empty result; other columns
-    of `docs` don't take part.
+    id, texts are ordered by hash.  Texts of any length are
+    read whole, in overlapping pieces; an empty table gives an empty result; other columns
+    of `docs` don't take part, whatever
+    their names.
     """
     done = without_repeats(docs, id_col, text_col, Bytes, size, k, sorted_repeats(size, True), within=True)
     return done.select(id_of(done, id_col), F.col("_n").alias("n_bytes"), F.col("_removed").alias("n_removed"), F.col("_spans").alias("spans"), F.col("_kept").alias("kept"))

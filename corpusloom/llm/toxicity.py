@@ -10,7 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from corpusloom.shared import stash
 
 BUCKETS = 1 << 18
 SAMPLE_ROWS = 8_000
@@ -153,37 +154,48 @@ def latent(texts: list[bytes | None], scores: WordScores) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list[bytes], np.ndarray]:
-    """At most SAMPLE_ROWS labelled rows and SAMPLE_BYTES of text, by hash of the id, to the driver."""
+    """At most SAMPLE_ROWS labelled documents and SAMPLE_BYTES of text, by hash of the id, to the driver; of an id's texts the shortest."""
     marked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("double").alias("_label"))
     chosen = marked.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS)
-    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("binary").alias("_text"))
-    rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).filter("_text is not null")
-    short = rows.select(F.xxhash64("_id").alias("_order"), "_id", F.octet_length("_text").alias("_n"), "_label").orderBy("_order", "_id", "_n").limit(SAMPLE_ROWS).collect()
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("binary").alias("_text")).filter("_text is not null")
+    joined = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))  # at most SAMPLE_ROWS rows
+    one = joined.groupBy("_id").agg(F.min(F.struct(F.octet_length("_text").alias("n"), F.col("_text").alias("text"), F.col("_label").alias("label"))).alias("_r"))
+    rows = stash(one.select("_id", "_r.*"), "labelled")
     total, kept = 0, set()
-    for r in short:
-        if total + r["_n"] <= SAMPLE_BYTES:
-            total += r["_n"]
+    for r in rows.select("_id", "n").orderBy(F.xxhash64("_id"), "_id").collect():  # ids and lengths only
+        if total + r["n"] <= SAMPLE_BYTES:  # an overlong text costs only itself
+            total += r["n"]
             kept.add(r["_id"])
-    rows = rows.filter(F.col("_id").isin(sorted(kept))) if len(kept) < len({r["_id"] for r in short}) else rows
-    got = sorted((r["_id"], bytes(r["_text"]), r["_label"]) for r in rows.select("_id", "_text", "_label").toLocalIterator())[:SAMPLE_ROWS]
+    got = sorted((r["_id"], bytes(r["text"]), r["label"]) for r in rows.toLocalIterator() if r["_id"] in kept)
     return [t for _, t, _ in got], np.array([g for _, _, g in got])
 
 
-def grade_batches(batches: Iterator[pa.RecordBatch], model: OrdinalModel, text_at: int) -> Iterator[pa.RecordBatch]:
+def grades(texts: pa.Array, model: OrdinalModel, scores: WordScores) -> tuple[np.ndarray, np.ndarray]:
+    """Expected and most likely grade of each text."""
+    binary = texts.cast(pa.binary())
+    z = np.concatenate([latent(binary.slice(i, 256).to_pylist(), scores) for i in range(0, max(1, len(binary)), 256)])
+    return model.expected(z), model.grade(z).astype(np.float64)
+
+
+def grade_batches(batches: Iterator[pa.RecordBatch], model: OrdinalModel) -> Iterator[pa.RecordBatch]:
+    """`_id, _text` -> `_id, severity, grade`."""
+    scores = WordScores(model.weights)
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, grades(batch.column(1), model, scores))], names=["_id", "severity", "grade"])
+
+
+def mild_batches(batches: Iterator[pa.RecordBatch], model: OrdinalModel, text_at: int, reject: float) -> Iterator[pa.RecordBatch]:
+    """Rows below the rejection level, all their columns as they are."""
     scores = WordScores(model.weights)
     for batch in batches:
-        texts = batch.column(text_at).cast(pa.binary())
-        z = np.concatenate([latent(texts.slice(i, 256).to_pylist(), scores) for i in range(0, max(1, batch.num_rows), 256)])
-        added = [pa.array(model.expected(z), pa.float64()), pa.array(model.grade(z).astype(np.float64))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "_severity", "_grade"])
+        yield batch.filter(pa.array(grades(batch.column(text_at), model, scores)[0] < reject))
 
 
-def with_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """`docs` with `_severity` (expected grade) and `_grade` (most likely one), see `severity`."""
+def without_toxic(docs: DataFrame, labels: DataFrame, reject: float, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The rows of `docs` whose expected severity lies below `reject`, each judged by its own text, see `severity`."""
     model = fit(*training_rows(docs, labels, id_col, text_col, label_col))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_severity", T.DoubleType()), T.StructField("_grade", T.DoubleType())])
     at = docs.columns.index(text_col)
-    return docs.mapInArrow(lambda it: grade_batches(it, model, at), schema)
+    return docs.mapInArrow(lambda it: mild_batches(it, model, at, reject), docs.schema)
 
 
 def severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -193,10 +205,14 @@ def severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     SAMPLE_BYTES of text; everything else covers all documents.  Returns one row for each
     row of `docs`: `id_col`, `severity` (expected grade) and `grade` (most likely one).
 
-    Null and empty texts get the grade of a text without features; null labels and labels
-    without a document don't take part; of several labels the highest counts; repeated
-    rows get equal results; with fewer than two grades in the labels all rows get the one
-    there is, or 0.  Other columns don't take part.
+    Null and empty texts get the grade of a text without features; texts of any length are
+    read whole; null labels and labels without a document don't take part; of several labels
+    the highest counts, of an id's texts the shortest is learned from; of grades that are
+    equally likely the lowest is given; repeated rows get equal results; with fewer than two
+    grades in the labels all rows get the one there is, or 0; an empty table gives an empty
+    result.  Other columns don't take part, whatever their names.
     """
-    graded = with_severity(docs.select(id_col, text_col), labels, id_col, text_col, label_col)
-    return graded.select(id_col, F.col("_severity").alias("severity"), F.col("_grade").alias("grade"))
+    model = fit(*training_rows(docs, labels, id_col, text_col, label_col))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    kind = rows.schema["_id"].dataType.simpleString()
+    return rows.mapInArrow(lambda it: grade_batches(it, model), f"_id {kind}, severity double, grade double").withColumnRenamed("_id", id_col)

@@ -43,7 +43,9 @@ def test_mix(spark):
         assert abs(taken[s] - want[s]) <= 61, (s, taken[s], want[s])
     again = {r.doc_id: r.taken for r in taken_words(df.repartition(2)).collect()}
     assert again == {r.doc_id: r.taken for r in got}
-    picks = {r.doc_id: (r.copies, r.taken) for r in mixed(df.withColumnRenamed("target", "copied")).collect()}
+    clash = mixed(df.withColumnRenamed("target", "copies"))
+    assert clash.columns == [*df.withColumnRenamed("target", "copies").columns, "copies_", "taken"]
+    picks = {r.doc_id: (r.copies_, r.taken) for r in clash.collect()}
     assert {k: v[1] for k, v in picks.items() if v[1]} == {k: v for k, v in again.items() if v}
 
 

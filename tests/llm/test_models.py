@@ -1,13 +1,15 @@
+import math
 import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from corpusloom.llm import htmlcut, langid, page_samples, toxicity
 from corpusloom.llm.htmlcut import Flow, content_blocks, extract_text, main_text
 from corpusloom.llm.langid import Network, identify
 from corpusloom.llm.licenses import TEMPLATES, scan_licenses
-from corpusloom.llm.toxicity import fit, latent, severity, with_severity
+from corpusloom.llm.toxicity import fit, latent, severity, without_toxic
 
 
 def graded_corpus(n=600, seed=1):
@@ -35,6 +37,40 @@ def test_ordinal_regression_learns_grades():
     assert (above[:, 0] >= above[:, 1]).all()
 
 
+def test_regression_finds_the_least_loss():
+    """Against a plain search: no small step of any weight or threshold from the fitted model lowers the penalised loss much."""
+    texts, labels = graded_corpus(150, seed=2)
+    model = fit(texts, labels, rounds=1500)
+    used = np.flatnonzero(model.weights)
+    x = np.zeros((len(texts), len(used)))
+    for i, t in enumerate(texts):
+        for w in toxicity.words_of(t):
+            for f in toxicity.word_features(w):
+                at = np.searchsorted(used, f)
+                if at < len(used) and used[at] == f:
+                    x[i, at] += 1
+    assert np.allclose(x @ model.weights[used], latent(texts, toxicity.WordScores(model.weights)), atol=1e-3)
+    y = np.searchsorted(model.grades, labels)
+
+    def loss(z, cuts):  # written out, grade by grade
+        total = 0.0
+        for zi, k in zip(z, y):
+            above = [1.0] + [1 / (1 + math.exp(min(40, max(-40, c - zi)))) for c in cuts] + [0.0]
+            total -= math.log(max(above[k] - above[k + 1], 1e-9))
+        return total / len(y)
+
+    z = x @ model.weights[used]
+    here = loss(z, model.thresholds)
+    assert here < 0.5 * loss(np.zeros(len(y)), model.thresholds)
+    for j in range(len(model.thresholds)):
+        for step in (-0.3, 0.3):
+            cuts = model.thresholds.copy()
+            cuts[j] += step
+            assert loss(z, cuts) > here - 0.01
+    for scale in (0.7, 1.3):
+        assert loss(z * scale, model.thresholds) > here - 0.05
+
+
 def test_severity_edges(spark):
     texts, labels = graded_corpus(200)
     rows = [(i, t.decode(), "s") for i, t in enumerate(texts)] + [(900, None, "s"), (901, "", "s"), (None, "rudely rude", "s"), (3, texts[3].decode(), "s")]
@@ -43,7 +79,12 @@ def test_severity_edges(spark):
     got = severity(docs, marks).collect()
     assert len(got) == len(rows) and all(0 <= r.severity <= 2 for r in got)
     assert len({r.severity for r in got if r.doc_id == 3}) == 1
-    assert with_severity(docs, marks).columns == ["doc_id", "text", "severity", "_severity", "_grade"]
+    clash = docs.withColumn("_severity", F.lit(1)).withColumn("grade", F.lit("g"))
+    mild = without_toxic(clash, marks, 0.5)
+    assert mild.columns == clash.columns and {r.doc_id for r in mild.collect()} == {r.doc_id for r in got if r.severity < 0.5}
+    assert without_toxic(clash.limit(0), marks, 0.5).count() == 0
+    many = docs.filter("doc_id = 3").crossJoin(spark.range(50)).drop("id").unionByName(docs)
+    assert len(toxicity.training_rows(many, marks, "doc_id", "text", "toxic")[0]) == len(toxicity.training_rows(docs, marks, "doc_id", "text", "toxic")[0])
     assert severity(docs.limit(0), marks).count() == 0
     assert {r.severity for r in severity(docs, marks.limit(0)).collect()} == {0.0}
 
