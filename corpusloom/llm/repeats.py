@@ -74,7 +74,7 @@ class Bytes:
 class WordCodes(dict):
     """64-bit codes of words, remembered up to a bound."""
 
-    BOUND = 200_000
+    BOUND = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:
@@ -296,8 +296,11 @@ def resolved_batches(batches: Iterator[pa.RecordBatch], resolve: Callable, size:
         yield settle(pa.Table.from_batches(held))
 
 
-def cut_batches(batches: Iterator[pa.RecordBatch], units: type) -> Iterator[pa.RecordBatch]:
-    """`_key, _bytes, _cuts, _carry` -> `_key, _carry, _n, _removed, _spans, _kept`."""
+def cut_batches(batches: Iterator[pa.RecordBatch], units: type, characters: bool = False) -> Iterator[pa.RecordBatch]:
+    """`_key, _bytes, _cuts, _carry` -> `_key, _carry, _n, _removed, _spans, _kept`.
+
+    With `characters`, what is left of UTF-8 characters that a cut goes through goes as well.
+    """
     for batch in batches:
         for lo in range(0, batch.num_rows, 200):
             part = batch.slice(lo, 200)
@@ -319,6 +322,8 @@ def cut_batches(batches: Iterator[pa.RecordBatch], units: type) -> Iterator[pa.R
                 spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)])
                 removed.append(int(gone.sum()))
                 kept.append(parts[~gone].tobytes() if units is Bytes else b" ".join([w for w, g in zip(parts, gone.tolist(), strict=True) if not g]))
+            if characters:
+                kept = [k.decode("utf-8", "ignore").encode() if r else k for k, r in zip(kept, removed, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(3), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
                 + [pa.array(kept, pa.binary())],
@@ -395,7 +400,7 @@ def removed_ranges(rows: DataFrame, units: type, size: int, k: int, resolve: Cal
         contexts = stash(new.withColumn("_large", F.col("_n") > GROUP).drop("_n"), "repeats-contexts")
 
 
-def without_repeats(docs: DataFrame, id_col: str, text_col: str, units: type, size: int, k: int, resolve: Callable, within: bool, carry: list[str] | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str, text_col: str, units: type, size: int, k: int, resolve: Callable, within: bool, carry: list[str] | None = None, characters: bool = False) -> DataFrame:
     """One row for each row of `docs`: its id, `_n, _removed, _spans, _kept`, and `_carry` with columns to keep."""
     rows, unique = keyed(docs, id_col, text_col, carry or [])
     every = rows
@@ -406,7 +411,7 @@ def without_repeats(docs: DataFrame, id_col: str, text_col: str, units: type, si
     joined = every.join(cuts, F.col("_key") == F.col("_k"), "left").select("_key", "_bytes", "_cuts", "_carry")
     added = T._parse_datatype_string("_n long, _removed long, _spans array<struct<start:long,end:long>>, _kept binary")
     schema = T.StructType([joined.schema["_key"], joined.schema["_carry"], *added.fields])
-    return joined.mapInArrow(lambda it: cut_batches(it, units), schema)
+    return joined.mapInArrow(lambda it: cut_batches(it, units, characters), schema)
 
 
 def id_of(result: DataFrame, name: str) -> Column:

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
 
 from corpusloom.llm.repeats import Bytes, id_of, without_repeats
 from corpusloom.llm.suffix import equal_windows
@@ -56,12 +54,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def without_repeated_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 100) -> DataFrame:
     """`docs` with the text that `suffix_dedup` keeps; characters cut in two go whole, other columns stay."""
-
-    @pandas_udf("string")
-    def decoded(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
     others = [c for c in docs.columns if c != text_col]
-    done = without_repeats(docs, id_col, text_col, Bytes, size, KGRAM, sorted_repeats(size, True), within=True, carry=[*others, text_col])
-    text = F.when(F.col("_removed") == 0, F.col(f"_carry.{text_col}")).otherwise(decoded("_kept"))
+    done = without_repeats(docs, id_col, text_col, Bytes, size, KGRAM, sorted_repeats(size, True), within=True, carry=[*others, text_col], characters=True)
+    text = F.when(F.col("_removed") == 0, F.col(f"_carry.{text_col}")).otherwise(F.col("_kept").cast("string"))
     return done.select(*[text.alias(c) if c == text_col else F.col(f"_carry.{c}").alias(c) for c in docs.columns])
