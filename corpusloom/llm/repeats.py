@@ -389,7 +389,7 @@ def removed_ranges(rows: DataFrame, units: type, size: int, k: int, resolve: Cal
         small = contexts.filter("not _large").withColumn("_doc", F.xxhash64("_key"))
         small = small.select("_gram", "_key", "_start", "_doc", "_text", "_shifts").repartition(F.col("_gram")).sortWithinPartitions("_gram", "_key", "_start")
         settled = small.mapInArrow(lambda it: resolved_batches(it, resolve, size), f"_key {key}, _start long, _end long, _shifts array<bigint>")
-        ranges = ranges.union(moved(settled))
+        ranges = ranges.union(stash(moved(settled), "repeats-settled"))  # so that no round's shuffles meet those of another
         large = contexts.filter("_large").drop("_large")
         if large.isEmpty():
             return ranges
