@@ -4,7 +4,7 @@ import corpus_pipeline
 from corpusloom.llm.decontam import weighted_similarity
 from tests.llm.test_decontam import shingles
 from tests.llm.test_repeats import brute_bytes
-from tests.llm.test_simhash import brute_groups, brute_print
+from tests.llm.test_near_copies import brute
 
 
 def write_tables(spark, folder):
@@ -43,7 +43,7 @@ def write_tables(spark, folder):
 def test_pipeline_equals_brute_force(spark, tmp_path):
     rows, toxic, items = write_tables(spark, str(tmp_path))
     texts = {r[0]: r[1] for r in rows if r[0] not in toxic}
-    groups = brute_groups({k: brute_print(t) for k, t in texts.items()})
+    groups = brute(texts)
     texts = {k: t for k, t in texts.items() if groups[k] == k}
     kept = brute_bytes(texts, 100)
     texts = {k: None if texts[k] is None else v[2].decode("utf-8", "ignore") for k, v in kept.items()}
@@ -71,3 +71,28 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     total = sum(len((t or "").split()) for t in texts.values())
     assert abs(sum(r.taken for r in mix) - total) < 300
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.queries().keys() == {"pipeline"}
+
+
+def test_stages_take_any_rows(spark, tmp_path):
+    """Null and repeated ids, null, empty and very long texts, repeated rows, clashing columns and empty tables, through each stage."""
+    write_tables(spark, str(tmp_path))
+    long = " ".join(f"w{i * i % 9973}" for i in range(40_000))
+    rows = [(None, None, "a"), (None, "", None), (1, "one text of a few words", "a"), (1, "quite another text of that id", "a"), (2, "one text of a few words", "b"), (2, "one text of a few words", "b")]
+    rows += [(None, "a text without an id", None), (7, long, "b"), (8, "é" * 50, "c")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _severity double, copies long, taken string, _key int, _node int, _text string, grade int"
+    df = spark.createDataFrame([(i, t, "en", s, len(t) if t else None, 0.5, 9, "t", 1, 2, "x", 3) for i, t, s in rows], schema)
+    texts = [r[1] for r in rows]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, df, str(tmp_path))
+        assert got.columns == df.columns, name
+        kept = got.collect()
+        assert all((r._severity, r.copies, r.taken, r._key, r._node, r._text, r.grade) == (0.5, 9, "t", 1, 2, "x", 3) for r in kept), name
+        if name == "simhash_near_dedup":
+            assert sorted(str((r.doc_id, r.text)) for r in kept if r.text) == sorted(str((i, t)) for i, t in {(i, t) for i, t, _ in rows if t} - {(2, texts[4])})
+            assert len([r for r in kept if not r.text]) == 1
+        else:
+            assert len(kept) == len(rows), name
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+    mix = corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path))
+    assert mix.columns == [*df.columns, "copies_", "taken_"] and mix.count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, df.limit(0), str(tmp_path)).count() == 0
