@@ -3,17 +3,20 @@
 Two texts 0.8 alike in five-word shingles differ in about 10 of 64 SimHash bits, too many
 for balls around one fingerprint.  So a text gets 512 bits, cut into 16 parts of 32, and emits
 all variants of each part within 1 bit: texts meet in a part in which they differ by 2 bits
-or fewer, as half the radius comes from either side.  Colliding texts that are near in
-their first 64 bits are linked by a shortest spanning tree of each key, which joins a
-copy to what it was made from rather than to another copy.  Links within RADIUS of all 512
-bits are verified by the exact similarity of both texts' shingles, the nearest of each text
-first and then, round by round, those left whose ends are not yet in one group, so that what
-a large family verifies grows with its size and not with its keys.
+or fewer, as half the radius comes from either side.
+
+Colliding texts only have to come into one block; which of them are alike is settled there.
+Texts that share a whole part are joined first, so a large family is one block before
+the variants are looked at, and these say only what joins different blocks: all pairs of a
+small key that are near in all 512 bits, a spanning forest of a larger one.  In a block all
+texts are compared by their shingles, whatever their bits, unless verified links join
+them already.  A block too large for one task is dealt out in pieces, see `_grouped`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +25,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import components
+from corpusloom.llm.simhash import forest
 from corpusloom.llm.winnow import mix
 from corpusloom.shared import drop_stash, stash
 
 SHINGLE, SIMILARITY = 5, 0.8
 WORDS = 8  # of 64 bits; each has two parts
-NEAR = 20  # bits of the first word in which linked texts may differ; texts 0.8 alike differ in 10, give or take 3
+NEAR = 24  # bits of the first word in which texts of one key may differ; texts 0.8 alike differ in 10 give or take 3, of five shingles in 12
 RADIUS = 130  # bits of all 512 in which linked texts may differ; texts 0.8 alike differ in 78 give or take 8, of five shingles in 96 give or take 9
-NEAREST, GROWTH = 4, 8  # a text's links verified in the first round; growth of that number from round to round
-TREE = 2048  # fingerprints of one key that are tied at a time
+NEAREST = 4  # texts of one key of which all pairs are looked at; a larger key gives a forest, and its texts a block
+TREE = 2048  # texts of a block that are compared at a time, and fingerprints of a key that a shortest tree ties
+LONG = 512  # shingles of a text that count as one text more in TREE
 
 _SALTS = mix(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -80,23 +85,28 @@ def print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """`_node, _text` -> `_node, _set`."""
+    """`_block, _node, _text` -> `_block, _node, _set`."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            sets = [shingle_hashes(plain_words(t.as_py())).view(np.int64) for t in part.column(1)]
+            sets = [shingle_hashes(plain_words(t.as_py())).view(np.int64) for t in part.column(2)]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
-            yield pa.RecordBatch.from_arrays([part.column(0), listed], names=["_node", "_set"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), listed], names=["_block", "_node", "_set"])
 
 
-def ball_keys(fp: Column) -> Column:
-    """Of each 32-bit part its value and the values 1 bit off, with the part's number above them."""
+def part_keys(fp: Column) -> Column:
+    """Each 32-bit part's value, with the part's number above it."""
     part = lambda p: F.shiftrightunsigned(F.get(fp, (p / 2).cast("int")), 32).bitwiseAND(0xFFFFFFFF)
     low = lambda p: F.get(fp, (p / 2).cast("int")).bitwiseAND(0xFFFFFFFF)
-    flips = F.array(*[F.lit(x).cast("long") for x in (0, *(1 << b for b in range(32)))])
     value = lambda p: F.when(p % 2 == 0, low(p)).otherwise(part(p)) + F.shiftleft(p.cast("long"), 32)
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2 * WORDS - 1)), lambda p: F.transform(flips, lambda f: value(p).bitwiseXOR(f))))
+    return F.transform(F.sequence(F.lit(0), F.lit(2 * WORDS - 1)), value)
+
+
+def ball_keys(fp: Column) -> Column:
+    """Of each 32-bit part its value and the values 1 bit off, with the part's number above them."""
+    flips = F.array(*[F.lit(x).cast("long") for x in (0, *(1 << b for b in range(32)))])
+    return F.flatten(F.transform(part_keys(fp), lambda v: F.transform(flips, lambda f: v.bitwiseXOR(f))))
 
 
 def tree(values: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
@@ -119,47 +129,114 @@ def tree(values: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
         nearest[i] = 1000
 
 
-def tree_batches(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """`_key, _p` in order of both -> links `a, b` between fingerprints of one key.
+def tree_batches(batches: Iterator[pa.RecordBatch], radius: int, most: int) -> Iterator[pa.RecordBatch]:
+    """`_key, _p, _label` in order of key -> links `a, b`, `_sure` between fingerprints of one key with different labels.
+
+    A key of two or of up to `most` fingerprints gives all its pairs within the radius, yet to be
+    checked by all bits.  A larger one gives links that join the labels of all such pairs,
+    which are taken as they are.
+    """
+    held = [np.zeros(0, np.int64)] * 3
+
+    def links(key: np.ndarray, p: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        start, size = cut[:-1], np.diff(cut)
+        mixed = np.minimum.reduceat(label, start) != np.maximum.reduceat(label, start)
+        i = start[mixed & (size == 2)]
+        i = i[np.bitwise_count((p[i] ^ p[i + 1]).view(np.uint64)) <= radius]
+        found = [(p[i], p[i + 1], np.zeros(len(i), np.int64))]
+        more = mixed & (size > 2)
+        for at, n in zip(start[more].tolist(), size[more].tolist(), strict=True):
+            own, bits = label[at : at + n], p[at : at + n].view(np.uint64)
+            if n <= most:
+                i, j = np.triu_indices(n, 1)
+                near = (own[i] != own[j]) & (np.bitwise_count(bits[i] ^ bits[j]) <= radius)
+                found.append((p[at + i[near]], p[at + j[near]], np.zeros(int(near.sum()), np.int64)))
+            else:
+                edges = np.array(list((tree if n <= TREE else forest)(bits, radius)), dtype=np.int64).reshape(-1, 2)
+                a, b = own[edges[:, 0]], own[edges[:, 1]]
+                found.append((a[a != b], b[a != b], np.ones(int((a != b).sum()), np.int64)))
+        a, b, sure = (np.concatenate(x) for x in zip(*found, strict=True))
+        rows = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), sure], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2] == 1)], names=["a", "b", "_sure"])
 
-    A key's fingerprints are tied in pieces of TREE, each of which starts with the first of
-    the piece before, so a key of any size takes bounded memory.
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+        key = rows[0]
+        whole = len(key) - int(np.argmax(key[::-1] != key[-1])) if key[0] != key[-1] else 0
+        if whole:
+            yield links(*(r[:whole] for r in rows))
+        held = [r[whole:] for r in rows]
+    if len(held[0]):
+        yield links(*held)
+
+
+def set_links(labels: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """Pairs of labels that join those of all sets so similar; sets of one label count as joined, `hashes` holds all sets end to end.
+
+    From a label on, every set reached is compared with all that are not yet, so nothing is
+    compared twice, and joined sets never with each other.
     """
-    key: int | None = None
-    held: list[int] = []
-    out: set[tuple[int, int]] = set()
+    names, group = np.unique(labels, return_inverse=True)
+    vocabulary, ids = np.unique(hashes, return_inverse=True)
+    marked = np.zeros(len(vocabulary), dtype=bool)
+    ends = np.cumsum(sizes)
+    rest, flat = np.arange(len(labels)), ids  # sets not reached and their hashes
+    for g in np.argsort(np.bincount(group), kind="stable").tolist():
+        waiting: list[int] = []
+        joined = np.array([g])
+        while True:
+            if len(joined):
+                moves = np.isin(group[rest], joined)
+                waiting += rest[moves].tolist()
+                flat, rest = flat[~np.repeat(moves, sizes[rest])], rest[~moves]
+                cuts = np.concatenate([[0], np.cumsum(sizes[rest])])
+            if not len(rest):
+                return
+            if not waiting:
+                break
+            i = waiting.pop()
+            own = ids[ends[i] - sizes[i] : ends[i]]
+            marked[own] = True
+            shared = np.diff(np.concatenate([[0], np.cumsum(marked[flat])])[cuts])
+            marked[own] = False
+            joined = np.unique(group[rest[shared >= similarity * (sizes[i] + sizes[rest] - shared)]])
+            for j in joined.tolist():
+                yield int(names[g]), int(names[j])
+
+
+def set_batches(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """`_block, _piece, _label, _set` in order of both -> links `a, b` between labels of one piece."""
+    held: list[tuple[np.ndarray, ...]] = []
+    out: list[tuple[int, int]] = []
+    last = None
 
     def flush() -> None:
-        if len(held) == 2:
-            if (held[0] ^ held[1]).bit_count() <= radius:
-                out.add((held[0], held[1]))
-        elif len(held) > 2:
-            out.update((min(held[a], held[b]), max(held[a], held[b])) for a, b in tree(np.array(held, dtype=np.int64).view(np.uint64), radius))
+        if held:
+            out.extend(set_links(*(np.concatenate(x) for x in zip(*held, strict=True)), similarity))
+            held.clear()
 
     def links() -> pa.RecordBatch:
-        pairs = sorted(out)
+        found = pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in (0, 1)], names=["a", "b"])
         out.clear()
-        return pa.RecordBatch.from_arrays([pa.array([p[j] for p in pairs], pa.int64()) for j in (0, 1)], names=["a", "b"])
+        return found
 
     for batch in batches:
-        keys, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        # Keys of one fingerprint, nearly all, are passed over at once.
-        same_before = np.concatenate([[len(keys) > 0 and keys[0] == key], keys[1:] == keys[:-1]]) if len(keys) else np.zeros(0, bool)
-        same_after = np.concatenate([same_before[1:], [True]]) if len(keys) else same_before
-        for i in np.flatnonzero(same_before | same_after).tolist():
-            if not same_before[i]:
-                flush()
-                held.clear()
-                key = int(keys[i])
-            held.append(int(prints[i]))
-            if len(held) == TREE:
+        block, piece, label = (batch.column(i).to_numpy() for i in range(3))
+        ends, values = batch.column(3).offsets.to_numpy(), batch.column(3).values.to_numpy()
+        changes = np.flatnonzero((block[1:] != block[:-1]) | (piece[1:] != piece[:-1])) + 1
+        for lo, hi in pairwise([0, *changes.tolist(), len(block)]):
+            if lo == hi:
+                continue
+            if last != (here := (int(block[lo]), int(piece[lo]))):
                 flush()
-                del held[1:]
-        if len(out) > 50_000:
-            yield links()
-    flush()
-    if out:
+                last = here
+            held.append((label[lo:hi], np.diff(ends[lo : hi + 1]).astype(np.int64), values[ends[lo] : ends[hi]]))
         yield links()
+    flush()
+    yield links()
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -177,72 +254,99 @@ def picked(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, *more:
     return keyed.join(wanted, same, "inner" if more else "left_semi").drop("_wid", "_wh", "_wg")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs `_na, _nb` whose sets share that part of their union, as links `a, b`."""
-    side = lambda c: sets.select(F.col("_node").alias(f"_x{c}"), F.col("_set").alias(f"_s{c}"))
-    both = pairs.join(side("a"), F.col("_na") == F.col("_xa")).join(side("b"), F.col("_nb") == F.col("_xb"))
-    shared = F.size(F.array_intersect("_sa", "_sb"))
-    return both.filter(shared >= F.lit(similarity) * (F.size("_sa") + F.size("_sb") - shared)).select(F.col("_na").alias("a"), F.col("_nb").alias("b"))
+def _tied(reps: DataFrame, keys: Column, most: int) -> DataFrame:
+    """Links of `tree_batches` between `_p` of one key."""
+    near = NEAR
+    dealt = reps.select(F.explode(keys).alias("_key"), "_p", "_label").repartition("_key").sortWithinPartitions("_key", "_p")
+    return dealt.mapInArrow(lambda it: tree_batches(it, near, most), "a long, b long, _sure boolean").distinct()
+
+
+def _within(dealt: DataFrame, similarity: float) -> DataFrame:
+    """Links of `set_batches` in the pieces of `_block, _piece, _label, _set`."""
+    rows = dealt.select("_block", "_piece", "_label", "_set").repartition("_block", "_piece").sortWithinPartitions("_block", "_piece")
+    return rows.mapInArrow(lambda it: set_batches(it, similarity), "a long, b long")
+
+
+def _pieces(rows: DataFrame, name: str) -> DataFrame:
+    """`_b`, the number of pieces (`name`) that a block's rows make."""
+    load = F.count(F.lit(1)) + F.sum(F.size("_set")) / LONG
+    return rows.groupBy(F.col("_block").alias("_b")).agg(F.ceil(load / TREE).cast("long").alias(name))
 
 
-def _grouped(near: DataFrame, equal: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """`node, component` of the links among `near` (`_na < _nb`, their `_bits`) and `equal` that hold.
+def _grouped(sets: DataFrame, similarity: float) -> DataFrame:
+    """`node, component` of the links between all sets of a block (`_block, _node, _set`) that are so similar.
 
-    The first round verifies each text's NEAREST links, the next ones GROWTH times as many of
-    those left, until none is: a link is left out only where verified ones join its ends already,
-    so groups are those of all links, and a large family verifies few of its own.
+    A block of one piece is settled at once.  A larger one is dealt out in pieces twice, each
+    time otherwise, which joins nearly all of a family.  Its largest group needs no more
+    comparisons in itself, so then the block's other texts (pieces of them) meet each piece of
+    that group and each other: every pair not yet joined is compared, and where few texts are
+    left beside the largest group rows grow with the block.
     """
-    left, most, groups = near, NEAREST, None
-    while True:
-        ways = left.union(left.select("_nb", "_na", "_bits"))
-        rank = F.row_number().over(Window.partitionBy("_na").orderBy("_bits", "_nb"))
-        ends = (F.least("_na", "_nb").alias("_na"), F.greatest("_na", "_nb").alias("_nb"))
-        pairs = stash(ways.withColumn("_rank", rank).filter(F.col("_rank") <= most).select(*ends).distinct(), "near-pairs")
-        held = _alike(pairs if groups is not None else pairs.union(equal), sets, similarity)
-        before, groups = groups, stash(components(held if groups is None else held.union(groups.toDF("a", "b"))), "near-groups")
-        of = lambda c: groups.select(F.col("node").alias(f"_x{c}"), F.col("component").alias(f"_g{c}"))
-        open_ = left.join(pairs, ["_na", "_nb"], "left_anti").join(of("a"), F.col("_na") == F.col("_xa"), "left").join(of("b"), F.col("_nb") == F.col("_xb"), "left")
-        apart = F.coalesce("_ga", "_na") != F.coalesce("_gb", "_nb")
-        after = stash(open_.filter(apart).select("_na", "_nb", "_bits"), "near-open")
-        for table in (pairs, *([before] if before is not None else []), *([left] if left is not near else [])):
-            drop_stash(table)
-        if after.isEmpty():
-            drop_stash(after)
-            return groups
-        left, most = after, most * GROWTH
+    counts = stash(_pieces(sets, "_n"), "near-counts")
+    every = sets.join(counts, F.col("_block") == F.col("_b")).drop("_b")
+    shard = lambda seed, n: F.pmod(F.xxhash64("_node", F.lit(seed)), F.col(n))
+    large = every.filter("_n > 1")
+    links = [_within(every.withColumn("_label", F.col("_node")).withColumn("_piece", shard(1, "_n")), similarity)]
+    split = not counts.filter("_n > 1").isEmpty()
+    if split:
+        links.append(_within(large.withColumn("_label", F.col("_node")).withColumn("_piece", shard(2, "_n")), similarity))
+    groups = stash(components(links[0].union(links[1]) if split else links[0]), "near-groups")
+    if split:
+        named = large.join(groups, F.col("_node") == F.col("node"), "left").withColumn("_label", F.coalesce("component", "_node")).drop("node", "component")
+        kept = stash(named, "near-large")
+        group_sizes = kept.groupBy(F.col("_block").alias("_b"), "_label").agg(F.count(F.lit(1)).alias("_size"))
+        largest = group_sizes.groupBy("_b").agg(F.max(F.struct("_size", "_label")).alias("_most")).select("_b", F.col("_most._label").alias("_most"))
+        named = kept.join(largest, F.col("_block") == F.col("_b")).drop("_b")
+        others = named.filter("_label <> _most")
+        named = named.join(_pieces(others, "_m"), F.col("_block") == F.col("_b")).drop("_b")
+        across = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), f)
+        i, j, n, m = shard(3, "_n"), shard(4, "_m"), F.col("_n"), F.col("_m")
+        with_largest = across("_n", lambda k: k * m + j)
+        with_others = F.filter(across("_m", lambda k: F.when(k != j, n * m + F.least(j, k) * m + F.greatest(j, k))), lambda x: x.isNotNull())
+        places = F.when(F.col("_label") == F.col("_most"), across("_m", lambda k: i * m + k)).otherwise(F.concat(with_largest, with_others))
+        links = _within(named.withColumn("_piece", F.explode(places)), similarity)
+        before, groups = groups, stash(components(links.union(groups.toDF("a", "b"))), "near-groups")
+        drop_stash(before)
+        drop_stash(kept)
+    drop_stash(counts)
+    return groups
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(`_row, _node` of all rows, `node, component` of texts with links): near copies of texts, told by their words.
+    """(`_node, _w` of all texts and the least row of each, `node, component` of texts with links): near copies of texts, told by their words.
 
     Texts are 0.8 alike if their sets of five-word shingles (words lower-cased) share that
-    part of their union.  Links are found as the module says and all verified, so groups hold
-    no text without such a link; few links are missed (recall is measured in the tests).
+    part of their union.  Texts that meet as the module says come into one block, and all
+    links in a block are found, so groups hold no text without such a link; few texts
+    alike never meet (recall is measured in the tests).
     """
     plain = docs.select(row_key(id_col, text_col).alias("_row"), F.col(text_col).cast("binary").alias("_text"))
     kind = plain.schema["_row"].dataType.simpleString()
     prints = stash(plain.mapInArrow(print_batches, f"_row {kind}, _node long, _fp array<bigint>"), "near-prints")
-    distinct = stash(prints.groupBy("_node").agg(F.min(F.struct("_row", "_fp")).alias("_r")).select("_node", F.col("_r._row").alias("_w"), F.col("_r._fp").alias("_fp")), "near-texts")
-    first = F.get("_fp", F.lit(0))
-    reps = stash(distinct.groupBy(first.alias("_p")).agg(F.min(F.struct("_node", "_fp")).alias("_r")).select("_p", F.col("_r._node").alias("_rep"), F.col("_r._fp").alias("_fp")), "near-reps")
-
-    variants = reps.select(F.explode(ball_keys(F.col("_fp"))).alias("_key"), "_p").repartition("_key").sortWithinPartitions("_key", "_p")
-    links = stash(variants.mapInArrow(lambda it: tree_batches(it, NEAR), "a long, b long").distinct(), "near-links")
-    end = lambda c: reps.select(F.col("_p").alias(f"_p{c}"), F.col("_rep").alias(f"_n{c}"), F.col("_fp").alias(f"_f{c}"))
-    near = links.join(end("a"), F.col("a") == F.col("_pa")).join(end("b"), F.col("b") == F.col("_pb"))
+    least = F.min(F.struct("_row", "_fp")).alias("_r")
+    distinct = stash(prints.groupBy("_node").agg(least).select("_node", F.col("_r._row").alias("_w"), F.col("_r._fp").alias("_fp")), "near-texts")
+    # Texts that share their first word share a block; only where they share all others too does one stand for their bits.
+    alone = F.min("_fp") == F.max("_fp")
+    reps = stash(distinct.groupBy(F.get("_fp", F.lit(0)).alias("_p")).agg(F.min("_fp").alias("_fp"), alone.alias("_alone"), F.min(F.get("_fp", F.lit(0))).alias("_label")), "near-reps")
+
+    same = stash(components(_tied(reps, part_keys(F.col("_fp")), 0).select("a", "b")), "near-same")
+    labelled = reps.drop("_label").join(same, F.col("_p") == F.col("node"), "left").withColumn("_label", F.coalesce("component", "_p"))
+    links = stash(_tied(labelled, ball_keys(F.col("_fp")), NEAREST), "near-links")
+    end = lambda c: reps.select(F.col("_p").alias(f"_p{c}"), F.col("_fp").alias(f"_f{c}"), F.col("_alone").alias(f"_o{c}"))
+    both = links.filter("not _sure").join(end("a"), F.col("a") == F.col("_pa")).join(end("b"), F.col("b") == F.col("_pb"))
     bits = F.aggregate(F.zip_with("_fa", "_fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    ends = (F.least("_na", "_nb").alias("_na"), F.greatest("_na", "_nb").alias("_nb"))
-    near = stash(near.select(*ends, bits.alias("_bits")).filter(F.col("_bits") <= RADIUS), "near-bits")
-    equal = distinct.select("_node", first.alias("_p")).join(end("a").drop("_fa"), F.col("_p") == F.col("_pa")).filter("_node <> _na").select("_na", F.col("_node").alias("_nb"))
-    equal = stash(equal, "near-equal")
-
-    involved = near.select("_na", "_nb").union(equal).select(F.explode(F.array("_na", "_nb")).alias("_i")).distinct()
-    wanted = stash(distinct.join(involved, F.col("_node") == F.col("_i")).select("_node", "_w"), "near-wanted")
-    texts = picked(docs.select(id_col, text_col), wanted, id_col, text_col, "_node").select("_node", F.col(text_col).cast("binary").alias("_text"))
-    sets = texts.mapInArrow(shingle_batches, "_node long, _set array<bigint>")
+    near = both.filter((bits <= RADIUS) | ~F.col("_oa") | ~F.col("_ob")).select("a", "b")
+    blocks = stash(components(near.union(links.filter("_sure").select("a", "b")).union(same.toDF("a", "b"))), "near-blocks")
+
+    first = distinct.select("_node", "_w", F.get("_fp", F.lit(0)).alias("_p"))
+    placed = first.join(blocks, F.col("_p") == F.col("node"), "left").select("_node", "_w", F.coalesce("component", "_p").alias("_block"))
+    shared = placed.groupBy(F.col("_block").alias("_b")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    wanted = stash(placed.join(shared, F.col("_block") == F.col("_b")).select("_node", "_w", "_block"), "near-wanted")
+    texts = picked(docs.select(id_col, text_col), wanted, id_col, text_col, "_node", "_block").select("_block", "_node", F.col(text_col).cast("binary").alias("_text"))
+    sets = texts.mapInArrow(shingle_batches, "_block long, _node long, _set array<bigint>")
     sets = stash(sets.dropDuplicates(["_node"]), "near-sets")
-    groups = _grouped(near, equal, sets, similarity)
-    for table in (reps, links, near, equal, wanted, sets):
+    groups = _grouped(sets, similarity)
+    for table in (reps, same, links, blocks, wanted, sets):
         drop_stash(table)
     return distinct, groups
 

@@ -146,3 +146,26 @@ def test_fingerprints_of_pieces_and_keys(spark):
     got = df.select(near_copies.ball_keys(near_copies.F.col("fp")).alias("k")).first().k
     parts = [v for x in fp for v in (x & 0xFFFFFFFF, x >> 32)]
     assert sorted(got) == sorted((p << 32) + (v ^ f) for p, v in enumerate(parts) for f in (0, *(1 << b for b in range(32))))
+
+
+def family(seed, n, places, choices):
+    """Texts of 120 words that differ from one text in some of the given places."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        other = [f"w{j}" for j in range(120)]
+        for at in rng.sample(range(5, 110, 5), rng.choice(places)):
+            other[at] = f"n{rng.randrange(choices)}"
+        rows.append((i, " ".join(other)))
+    return rows
+
+
+def test_no_link_of_a_family_is_left_out(spark, monkeypatch):
+    """Every link among texts that meet counts, those on no shortest tree too, in blocks of one piece and of many."""
+    rows = family(11, 200, (2, 3, 4), 3)
+    want = brute(dict(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert 10 < len(set(want.values())) < 190
+    for tree_size in (2048, 30):
+        monkeypatch.setattr(near_copies, "TREE", tree_size)
+        assert {r.doc_id for r in one_of_each(df).collect()} == set(want.values()), tree_size
