@@ -282,23 +282,21 @@ def _grouped(sets: DataFrame, similarity: float) -> DataFrame:
     that group and each other: every pair not yet joined is compared, and where few texts are
     left beside the largest group rows grow with the block.
     """
-    counts = stash(_pieces(sets, "_n"), "near-counts")
-    every = sets.join(counts, F.col("_block") == F.col("_b")).drop("_b")
+    counts = stash(_pieces(sets, "_n").filter("_n > 1"), "near-counts")  # a row for each block of many pieces, at most one for TREE texts
+    every = sets.join(F.broadcast(counts), F.col("_block") == F.col("_b"), "left").drop("_b").withColumn("_n", F.coalesce("_n", F.lit(1).cast("long")))
     shard = lambda seed, n: F.pmod(F.xxhash64("_node", F.lit(seed)), F.col(n))
     large = every.filter("_n > 1")
-    links = [_within(every.withColumn("_label", F.col("_node")).withColumn("_piece", shard(1, "_n")), similarity)]
-    split = not counts.filter("_n > 1").isEmpty()
-    if split:
-        links.append(_within(large.withColumn("_label", F.col("_node")).withColumn("_piece", shard(2, "_n")), similarity))
-    groups = stash(components(links[0].union(links[1]) if split else links[0]), "near-groups")
+    links = _within(every.withColumn("_label", F.col("_node")).withColumn("_piece", shard(1, "_n")), similarity)
+    if split := not counts.isEmpty():
+        links = links.union(_within(large.withColumn("_label", F.col("_node")).withColumn("_piece", shard(2, "_n")), similarity))
+    groups = stash(components(links), "near-groups")
     if split:
         named = large.join(groups, F.col("_node") == F.col("node"), "left").withColumn("_label", F.coalesce("component", "_node")).drop("node", "component")
         kept = stash(named, "near-large")
-        group_sizes = kept.groupBy(F.col("_block").alias("_b"), "_label").agg(F.count(F.lit(1)).alias("_size"))
-        largest = group_sizes.groupBy("_b").agg(F.max(F.struct("_size", "_label")).alias("_most")).select("_b", F.col("_most._label").alias("_most"))
-        named = kept.join(largest, F.col("_block") == F.col("_b")).drop("_b")
-        others = named.filter("_label <> _most")
-        named = named.join(_pieces(others, "_m"), F.col("_block") == F.col("_b")).drop("_b")
+        sizes = kept.groupBy(F.col("_block").alias("_b"), "_label").agg(F.count(F.lit(1)).alias("_size"))
+        largest = sizes.groupBy("_b").agg(F.max(F.struct("_size", "_label")).alias("_most")).select("_b", F.col("_most._label").alias("_most"))
+        named = kept.join(F.broadcast(largest), F.col("_block") == F.col("_b")).drop("_b")
+        named = named.join(F.broadcast(_pieces(named.filter("_label <> _most"), "_m")), F.col("_block") == F.col("_b")).drop("_b")
         across = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), f)
         i, j, n, m = shard(3, "_n"), shard(4, "_m"), F.col("_n"), F.col("_m")
         with_largest = across("_n", lambda k: k * m + j)

@@ -169,3 +169,13 @@ def test_no_link_of_a_family_is_left_out(spark, monkeypatch):
     for tree_size in (2048, 30):
         monkeypatch.setattr(near_copies, "TREE", tree_size)
         assert {r.doc_id for r in one_of_each(df).collect()} == set(want.values()), tree_size
+
+
+def test_links_do_not_grow_with_the_square(spark, monkeypatch):
+    """Texts that share a part are joined before the variants, which then link no family to itself."""
+    made = {}
+    real = near_copies.stash
+    monkeypatch.setattr(near_copies, "stash", lambda df, name: made.setdefault(name, []).append(real(df, name)) or made[name][-1])
+    monkeypatch.setattr(near_copies, "drop_stash", lambda df: None)
+    near_groups(spark.createDataFrame(family(12, 400, (1, 2), 50), "doc_id long, text string"))
+    assert made["near-links"][0].count() < 400 and made["near-wanted"][0].count() <= 400
