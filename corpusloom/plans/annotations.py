@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusloom.functions import entities as en, text as tx
@@ -185,17 +189,46 @@ def last_source_join(spark, sf_dir):
     return linking.predictions_with_sources(predictions, sources, ["doc_id"], "lang")
 
 
+CAPITALISED = re.compile(r"(?<![^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000])[A-Z][a-z]{2,}[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*")
+FULL = 1_000_000
+
+
+def line_entities(line, text):
+    """(start, end, surface) of a line's capitalised words; every fifth surface is misspelt, every seventh misplaced."""
+    for m in CAPITALISED.finditer(text):
+        odd, off = m.start() + line, 9 if (m.start() + line) % 7 == 0 else 0
+        yield m.start() + off, m.end() + off, m.group()[1:101] + "e" if odd % 5 == 0 else m.group()
+
+
 def lines_with_entities(spark, sf_dir):
-    """Lines as chunks with one entity for each capitalised word; every fifth surface is misspelt, every seventh misplaced."""
-    lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    words = tx.token_offsets(F.col("text"), tx.WHITESPACE_TOKEN)
-    odd = lambda w: w["start"] + F.col("line")
-    picked = F.filter(words, lambda w: w["text"].rlike("^[A-Z][a-z]{2,}"))
-    entity = lambda w: F.struct(
-        (w["start"] + F.when(odd(w) % 7 == 0, 9).otherwise(0)).alias("start"), (w["end"] + F.when(odd(w) % 7 == 0, 9).otherwise(0)).alias("end"), F.lit("Event").alias("label"),
-        F.when(odd(w) % 5 == 0, F.concat(F.substring(w["text"], 2, 100), F.lit("e"))).otherwise(w["text"]).alias("text"), F.lit(0.9).alias("confidence"),
-    )
-    return lines.withColumn("entities", F.transform(picked, entity))
+    """Lines as chunks with one entity for each capitalised word, see `line_entities`; one scan of the text, in Arrow batches of bounded size."""
+    entity = [pa.field("start", pa.int32()), pa.field("end", pa.int32()), pa.field("label", pa.string()), pa.field("text", pa.string()), pa.field("confidence", pa.float64())]
+
+    def batch_of(rows):
+        found = [list(line_entities(line, text)) for _, line, text in rows]
+        start, end, surface = zip(*[e for f in found for e in f], strict=True) if any(found) else ((), (), ())
+        columns = [pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(["Event"] * len(start), pa.string()), pa.array(surface, pa.string()), pa.array([0.9] * len(start), pa.float64())]
+        entities = pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, found))], pa.int32()), pa.StructArray.from_arrays(columns, fields=entity))
+        ids, lines, texts = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32()), pa.array(texts, pa.string()), entities], names=["doc_id", "line", "text", "entities"])
+
+    def run(batches):
+        rows, size = [], 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                if not text.is_valid:
+                    continue
+                text, doc_id = text.as_py(), doc_id.as_py()
+                rows += [(doc_id, line, own) for line, own in enumerate(text.split("\n"))]
+                size += len(text)
+                if size > FULL:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    kinds = "doc_id long, line int, text string, entities array<struct<start:int,end:int,label:string,text:string,confidence:double>>"
+    return documents(spark, sf_dir).select("doc_id", "text").mapInArrow(run, kinds)
 
 
 def char_to_token_span(spark, sf_dir):
@@ -203,7 +236,7 @@ def char_to_token_span(spark, sf_dir):
 
 
 def fuzzy_align(spark, sf_dir):
-    found = align.align_entities(lines_with_entities(spark, sf_dir), ["doc_id", "line"])
+    found = align.align_entities(lines_with_entities(spark, sf_dir), ["doc_id", "line"], with_tokens=False)
     return found.select("doc_id", "line", F.explode("entities").alias("e")).select("doc_id", "line", "e.*")
 
 

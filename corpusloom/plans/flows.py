@@ -196,7 +196,7 @@ def silver_standard(spark, sf_dir):
 
 
 def relation_report(spark, sf_dir):
-    chunks = align.align_entities(lines_with_entities(spark, sf_dir), ["doc_id", "line"])
+    chunks = align.align_entities(lines_with_entities(spark, sf_dir), ["doc_id", "line"], with_tokens=False)
     return rel.relation_report(chunks, relation_rows(spark, sf_dir), relation_entities(spark, sf_dir), ["doc_id"]).select("total_chunks", "relations_raw", "relations_kept")
 
 
