@@ -217,3 +217,75 @@ def test_quotas():
     assert sum(sampling.balanced_quotas({"a": 5, "b": 5}, 9).values()) == 9
     with pytest.raises(ValueError):
         sampling.balanced_quotas({"a": 1}, 2)
+
+
+def test_lines_are_cut_without_folds_and_aligned_once(spark, tmp_path):
+    from corpusloom.plans import annotations, flows
+
+    text = "Some words of Rome x\nand Paris. " + "Abcd efg " * 30
+    spark.createDataFrame([(1, text, "en", "s", 0), (2, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = annotations.lines_with_entities(spark, str(tmp_path))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan(lines)
+    rows = {r.line: r for r in lines.collect()}
+    assert [tuple(e) for e in rows[0].entities] == [(9, 13, "Event", "omee", 0.9), (23, 27, "Event", "Rome", 0.9)] and len(rows[1].entities) == 31
+    report = flows.relation_report(spark, str(tmp_path))
+    assert plan(report).count("MapInArrow") == 2 and report.first().total_chunks == 2  # one for lines, one for their alignment
+
+
+def test_regex_tokens_by_arrays_equal_the_pattern():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(500):
+        text = "".join(rng.choice("ab-_ .é'\nς\x1c" + "文" * (rng.random() < 0.01)) for _ in range(rng.randint(0, 40)))
+        assert [tuple(s) for s in align.Tokens(text, align.tokenizer("regex")).spans.tolist()] == align.by_pattern(r"\w+(?:[-_]\w+)*|\S")(text)
+    assert all(len(align.matchable(chr(c))) == (kind == 1) for c, kind in enumerate(align.KINDS))
+    tokens = align.Tokens("ΑΣ ' Β xyz " * 3, align.tokenizer("regex"))
+    assert tokens.run(0, 2) == align.matchable(tokens.surface(0, 2)) and tokens.lookup("xyz", 0, 0.7).score == 1.0
+    assert tokens.lookup("qqq", 0, 0.7) is None
+
+
+@pytest.mark.parametrize("passing_over", [False, True])
+def test_iob2_hands_on_bounded_batches(monkeypatch, spark, passing_over):
+    import pyarrow as pa
+
+    taken = {}
+
+    class Fake:
+        schema = spark.createDataFrame([], "k int").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, kinds):
+            taken["run"] = run
+
+    monkeypatch.setattr(en, "FULL", 10)
+    en.iob2_rows(Fake(), ["k"], passing_over=passing_over)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array([["a", "b", "c", "d"]] * 9), pa.array([["B-X"] * 4] * 9)], names=["k", "words", "tags"])
+    out = list(taken["run"](iter([batch])))
+    assert [b.num_rows for b in out] == [12, 12, 12] and [x for b in out for x in b.column(0).to_pylist()] == [k for k in range(9) for _ in range(4)]
+
+
+def test_spans_hand_on_bounded_batches(monkeypatch):
+    import pyarrow as pa
+
+    taken = {}
+
+    class Fake:
+        schema = {}
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, kinds):
+            taken["run"] = run
+
+    monkeypatch.setattr(align, "FULL", 3)
+    align.spans_on_tokens(Fake(), [])
+    spans = pa.array([[{"start": 0, "end": 1}, {"start": 1, "end": 2}], None, [{"start": 0, "end": 4}, {"start": 0, "end": 4}]] * 4)
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab c", "x", "ab c"] * 4), spans], names=["text", "spans"])
+    got = list(taken["run"](iter([batch])))
+    want = [(0, 1, 0, 0), (1, 2, 0, 0), (0, 4, 0, 1)] * 4
+    assert [b.num_rows for b in got] == [5, 4, 3] and [tuple(r.values()) for b in got for r in b.to_pylist()] == want
