@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
-from corpusloom.shared import stash
+from corpusloom.shared import dealt_by, stash
 
 LENGTH_BUCKETS = ((3, "1-3"), (7, "4-7"), (15, "8-15"), (30, "16-30"))
 HISTOGRAM = 4096
@@ -38,13 +38,25 @@ def cells(gold: DataFrame, pred: DataFrame, models: list[str], dims: tuple[str,
     """Counts `gold, pred, correct` by model, `dims`, label and length bucket.
 
     An entity matches as often as the lesser of its counts on both sides, by record, surface
-    and label.  Both sides are added up in one grouping (signed rows, no join), so counts are
-    combined before the shuffle; every model is held against all gold rows.
+    and label.  Both sides are added up in one grouping (no join) with a count for gold and
+    one for each model; only its rows are spread over the models, each held against all gold
+    rows.  Rows are dealt out by record to a number of tasks that grows with the input.
+    Models that aren't named have no gold and keep their rows.
     """
-    per = ["model", "rec", *dims, "text", "label"]
-    left = gold.withColumn("model", F.explode(F.array(*map(F.lit, models)))).select(*per, F.lit(1).alias("g"), F.lit(0).alias("p"))
-    right = pred.select(*per, F.lit(0).alias("g"), F.lit(1).alias("p"))
-    matched = left.unionByName(right).groupBy(*per).agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
+    per = ["rec", *dims, "text", "label"]
+    known = list(dict.fromkeys(models))
+    kind = pred.schema["model"].dataType
+    other = ~F.coalesce(F.col("model").isin(known), F.lit(False))
+    left = gold.select(*per, F.lit(-1).alias("m"), F.lit(None).cast(kind).alias("other"))
+    at = reduce(lambda acc, i: acc.when(F.col("model") == known[i], i), range(1, len(known)), F.when(F.col("model") == known[0], 0))
+    right = pred.select(*per, F.coalesce(at, F.lit(-2)).alias("m"), F.when(other, F.col("model")).alias("other"))
+    rows = dealt_by(left.unionByName(right), "rec")
+    n = lambda i: F.count(F.when(F.col("m") == i, 1))
+    counted = rows.groupBy(*per, "other").agg(n(-1).alias("g"), n(-2).alias("q"), *[n(i).alias(f"p{i}") for i in range(len(known))])
+    own = [F.struct(F.lit(m).cast(kind).alias("model"), F.col("g").alias("g"), F.col(f"p{i}").alias("p")) for i, m in enumerate(known)]
+    own = [F.when(F.col("other").isNull() & (s["g"] + s["p"] > 0), s) for s in own]
+    strange = F.when(F.col("q") > 0, F.struct(F.col("other").alias("model"), F.lit(0).cast("long").alias("g"), F.col("q").alias("p")))
+    matched = counted.select(*per, F.inline(F.array_compact(F.array(*own, strange))))
     return (
         matched.withColumn("bucket", length_bucket(F.col("text")))
         .groupBy("model", *dims, "label", "bucket")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Bytes of the files read that one task of `dealt_by` stands for.
+SHARE = 1 << 23
+#: Spark's estimate for rows that lie in no file is about this or more.
+UNKNOWN = 1 << 60
+
+
+def dealt_by(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` dealt out by keys to a number of tasks that grows with the files it reads, so that a task's rows, and what sorts and groups of them need, don't.
+
+    The session's number of shuffle partitions is the least.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaf.stats().sizeInBytes())) for leaf in map(leaves.apply, range(leaves.size()))]
+    read = sum(n for n in sizes if n < UNKNOWN)
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, ceil(read / SHARE)), *keys)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's `spark.checkpoint.dir`.
 
