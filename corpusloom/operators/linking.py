@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.evaluate import exact_percentile, ratio
-from corpusloom.shared import stash
+from corpusloom.shared import dealt_by, stash
 
 
 def confident_links(links: DataFrame, limit: float = 0.8) -> DataFrame:
@@ -98,15 +98,16 @@ def linkability(entities: DataFrame, links: DataFrame, models: list[str], dims:
     all `models` and the links have count: `aligned_chunks` (not by `dims`).  The threshold
     is the model's percentile of its links' confidence.
 
-    One shuffle by chunk brings both tables together; windows over it find the common chunks
-    and each surface's best link, and the result is written once for threshold and counts.
+    One shuffle by chunk, into a number of tasks that grows with the input, brings both tables
+    together; windows over it find the common chunks and each surface's best link, and the
+    result is written once for threshold and counts, which are dealt out in the same way.
     """
     dims = dims or []
     chunk = ["rec", "chunk"]
     own = entities.filter(F.col("model").isin(models)).select(*chunk, "text", "model", *dims, F.lit(None).cast("double").alias("_c"), F.lit(0).alias("_is_link"))
     found = links.select(*chunk, "text", F.lit(None).cast("string").alias("model"), *[F.lit(None).cast("string").alias(d) for d in dims], F.col("confidence").cast("double").alias("_c"), F.lit(1).alias("_is_link"))
     w = Window.partitionBy(*chunk)
-    seen = own.unionByName(found).select(
+    seen = dealt_by(own.unionByName(found), *chunk).select(
         "*", F.size(F.collect_set("model").over(w)).alias("_models"), F.max("_is_link").over(w).alias("_any"), F.max("_c").over(Window.partitionBy(*chunk, "text")).alias("_conf")
     )
     common = seen.filter((F.col("_is_link") == 0) & (F.col("_models") == len(set(models))) & (F.col("_any") == 1))
@@ -114,7 +115,7 @@ def linkability(entities: DataFrame, links: DataFrame, models: list[str], dims:
     limits = exact_percentile(tied, ["model"], "_conf", 1 - share, "threshold").withColumnRenamed("model", "_model")
     marked = tied.join(F.broadcast(limits), F.col("model") == F.col("_model"), "left")  # a row for each model
     top = F.sum(F.when(F.col("_conf") >= F.col("threshold"), 1).otherwise(0))
-    per = marked.groupBy("model", *dims, *chunk).agg(F.count("text").alias("n"), F.count("_conf").alias("k"), top.alias("t"), F.max("threshold").alias("threshold"))
+    per = dealt_by(marked, *chunk).groupBy("model", *dims, *chunk).agg(F.count("text").alias("n"), F.count("_conf").alias("k"), top.alias("t"), F.max("threshold").alias("threshold"))
     yes = lambda c: F.sum((F.col(c) > 0).cast("long"))
     aligned = [] if dims else [F.count(F.lit(1)).alias("aligned_chunks")]
     out = per.groupBy("model", *dims).agg(
