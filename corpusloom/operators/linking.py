@@ -22,9 +22,9 @@ def first_chunk(entity: Column, chunks: Column) -> Column:
 
 
 def with_first_chunk(docs: DataFrame, links: DataFrame, doc_key: str = "id", link_key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Links with `chunk_idx`, and those whose surface no chunk of their document contains."""
+    """Links with `chunk_idx`, and those whose surface no chunk of their document contains; both come from one join, which is written."""
     at = docs.select(F.col(doc_key).alias("_id"), F.col("text").alias("_chunks")).join(links, F.col("_id") == F.col(link_key))
-    placed = at.withColumn("chunk_idx", first_chunk(F.col("entity_text"), F.col("_chunks")).cast("int")).drop("_id", "_chunks")
+    placed = stash(at.withColumn("chunk_idx", first_chunk(F.col("entity_text"), F.col("_chunks")).cast("int")).drop("_id", "_chunks"), "first_chunk")
     return placed.filter("chunk_idx is not null"), placed.filter("chunk_idx is null")
 
 

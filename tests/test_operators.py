@@ -244,3 +244,34 @@ def test_flagship_counts(spark):
 
     got = {r.label: (r.gold, r.pred, r.correct) for r in catalog.queries()["eval_by_label"](spark, "/root/testdata/sf0.01").collect()}
     assert got == {"Event": (6027, 3563, 3563), "Organization": (6295, 5160, 5160), "Person": (8997, 7337, 7337), "Place": (2002, 1556, 1556), "Time": (0, 1305, 0)}
+
+
+def test_tasks_grow_with_the_input(monkeypatch, spark, tmp_path):
+    from corpusloom import shared
+    from corpusloom.operators import evaluate as ev
+
+    path, links = str(tmp_path / "entities"), str(tmp_path / "links")
+    rows = [(m, r, 0, f"t{r % 7}", "L") for r in range(400) for m in "abz"] + [("a", 1, 0, None, "L")]
+    spark.createDataFrame(rows, "model string, rec long, chunk int, text string, label string").write.parquet(path)
+    spark.createDataFrame([(r, 0, f"t{r % 7}", r / 400) for r in range(0, 400, 2)], "rec long, chunk int, text string, confidence double").write.parquet(links)
+    found, linked = spark.read.parquet(path), spark.read.parquet(links)
+    gold = found.filter("model = 'a'").drop("model", "chunk")
+    read = lambda: (sorted(linking.linkability(found, linked, ["a", "b"]).collect()), sorted(ev.cells(gold, found.drop("chunk"), ["a", "b"], ()).collect()))
+    few = read()
+    assert shared.dealt_by(found, "rec").rdd.getNumPartitions() == 4
+    monkeypatch.setattr(shared, "SHARE", 500)
+    size = sum(f.stat().st_size for f in (tmp_path / "entities").glob("*.parquet"))
+    assert shared.dealt_by(found, "rec").rdd.getNumPartitions() == -(-size // 500) > 4
+    assert read() == few and few[0][0].aligned_chunks == 200
+    counts = {(r.model, r.bucket): (r.gold, r.pred, r.correct) for r in few[1] if r.bucket}
+    assert counts["z", "1-3"] == (0, 400, 0) and counts["b", "1-3"] == (400, 400, 400)
+    plan = ev.cells(gold, found.drop("chunk"), ["a", "b"], ())._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(rec#" in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_links_are_placed_in_one_join(spark):
+    docs = spark.createDataFrame([("d", ["abc", "xbc"])], "id string, text array<string>")
+    links = spark.createDataFrame([("d", "xb"), ("d", "zz")], "doc_id string, entity_text string")
+    placed, lost = linking.with_first_chunk(docs, links)
+    assert "Join" not in placed.unionByName(lost)._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.chunk_idx for r in placed.collect()] == [1] and [r.chunk_idx for r in lost.collect()] == [None]
